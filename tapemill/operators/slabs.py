@@ -46,8 +46,12 @@ def slab_map(
     fn: Callable[[pa.Table, np.ndarray], Iterator[pa.Table]],
     schema: str,
     slab_rows: int = SLAB_ROWS,
+    clustered: bool = False,
 ) -> DataFrame:
-    """Apply ``fn(table, starts)`` to slabs of whole groups sorted by ``keys`` and ``order``; it yields Arrow tables."""
+    """Apply ``fn(table, starts)`` to slabs of whole groups sorted by ``keys`` and ``order``; it yields Arrow tables.
+
+    ``clustered``: ``df`` ends in a window partitioned by ``keys``, whose exchange serves here too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -75,7 +79,8 @@ def slab_map(
             for out in fn(table, group_starts(table, keys)):
                 yield from out.to_batches(max_chunksize=slab_rows)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    placed = df if clustered else df.repartition(*keys)
+    return placed.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def group_ids(starts: np.ndarray, n: int) -> np.ndarray:
