@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapemill.llm.tokens import VOCABULARY, durable, encoder, sound, spread
+from tapemill.llm.tokens import VOCABULARY, encoder, sound, spread
+from tapemill.session import durable
 
 BLOCK_TOKENS = 128
 #: Documents of a source are spread over so many buckets at least, each a task's matter.

@@ -16,7 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapemill.llm.tokens import VOCABULARY, durable, encoder, sound, spread
+from tapemill.llm.tokens import VOCABULARY, encoder, sound, spread
+from tapemill.session import durable
 
 DIMENSIONS, BITS = 4, 10
 #: Neighbours that are packed together, and containers kept open from one window to the next.

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import tempfile
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -30,14 +29,6 @@ def sound(text: str) -> str:
     return text.encode("utf-8", "replace").decode("utf-8")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpointed into the shared folder the session names; into a temporary one only where none is named."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint()
-
-
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores, where their files are too few to occupy them; otherwise as they are, without shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
