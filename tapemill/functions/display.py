@@ -113,7 +113,7 @@ def instant(c: Column) -> Column:
 
 def source(c: Column) -> Column:
     """Parts between semicolons in human form, addresses as they are."""
-    parts = F.filter(F.transform(F.split(c, ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(c, ";"), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(is_missing(c), MISSING).otherwise(F.array_join(F.transform(parts, lambda p: F.when(p.contains("://"), p).otherwise(humanized(p))), "; "))
 
 
