@@ -123,11 +123,10 @@ def _active(reg: DataFrame) -> DataFrame:
 def readiness(bars: DataFrame, reg: DataFrame, features: DataFrame, built: DataFrame, least: int = MINIMUM_ROWS) -> DataFrame:
     """One row per active symbol: raw and usable rows, the gap to ``least``, split sizes if ready, and the status.
 
-    ``built``: the processed rows (symbol, date). Quality, type, history, missing dataset, inconsistent dataset, Ready.
+    ``features``: symbol, is_warmup and is_complete suffice. ``built``: the processed rows (symbol, date). Quality, type, history, missing dataset, inconsistent dataset, Ready.
     """
     raw = bars.groupBy("symbol").agg(F.count("*").alias("raw_trading_rows"), F.min("date").alias("earliest_raw_date"), F.max("date").alias("latest_raw_date"))
-    bad = indicators.missing_feature()
-    made = features.groupBy("symbol").agg(F.count_if("is_warmup").alias("warmup_rows_removed"), F.count_if(~F.col("is_warmup") & ~bad).alias("usable_feature_rows"))
+    made = features.groupBy("symbol").agg(F.count_if("is_warmup").alias("warmup_rows_removed"), F.count_if(~F.col("is_warmup") & F.col("is_complete")).alias("usable_feature_rows"))
     parts = chronological_split(built.select("symbol", "date"), "symbol").groupBy("symbol").agg(F.bool_and(F.col("date").isNotNull()).alias("consistent"), *[F.count_if(F.col("split") == s).alias(f"{s}_rows") for s in ("train", "validation", "test")])
     rows = _active(reg).select("symbol", "company_name", "security_type").join(raw, "symbol", "left").join(made, "symbol", "left").join(quality.fatal_errors(bars), "symbol", "left").join(parts, "symbol", "left")
     rows = rows.na.fill(0, ["raw_trading_rows", "warmup_rows_removed", "usable_feature_rows", "train_rows", "validation_rows", "test_rows"])

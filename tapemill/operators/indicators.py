@@ -7,7 +7,7 @@ has at most one bar per day.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -58,9 +58,11 @@ def _recursive(table: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
     yield table
 
 
-def calculate_features(bars: DataFrame) -> DataFrame:
-    """Each bar with the features and ``is_warmup``; needs symbol, date and the five raw columns, drops others.
+def calculate_features(bars: DataFrame, wanted: Sequence[str] = FEATURES) -> DataFrame:
+    """Each bar with the ``wanted`` features and ``is_warmup``; needs symbol, date and the five raw columns, drops others.
 
+    With all of them there is ``is_complete`` too: no feature but the previous close is missing. What is not wanted is
+    not computed: Catalyst prunes windows, and the recursive stage is left out or handed only what passes through it.
     Null or NaN inputs are missing: a rolling figure needs its full count of present values. Rows without a date sort
     last. A null symbol is a series of its own. Dates of a symbol must be unique (see ``quality``).
     """
@@ -86,11 +88,18 @@ def calculate_features(bars: DataFrame) -> DataFrame:
         "_spread": guarded(F.stddev_pop("close"), close, 20, last(20)),
         "obv": F.when(F.count("_flow").over(full) == F.col("_n"), F.sum("_flow").over(full)),
     })
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + ", ".join(f"{c} double" for c in _RECURSIVE)
-    df = slab_map(df, ["symbol"], ["_n"], _recursive, schema, clustered=True)
+    sources = {"macd_histogram": ("macd", "macd_signal"), "bollinger_middle": ("sma_20",), "bollinger_upper": ("sma_20", "_spread"), "bollinger_lower": ("sma_20", "_spread")}
+    needed = {n for c in wanted for n in sources.get(c, (c,))}
+    recursive = [c for c in _RECURSIVE if c in needed]
+    if recursive:
+        df = df.select("symbol", "date", "_n", *dict.fromkeys(["close", *[c for c in df.columns if c in needed]]))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + ", ".join(f"{c} double" for c in _RECURSIVE)
+        df = slab_map(df, ["symbol"], ["_n"], _recursive, schema, clustered=True)
     two = 2 * F.col("_spread")
-    df = df.withColumns({"bollinger_middle": F.col("sma_20"), "bollinger_upper": F.col("sma_20") + two, "bollinger_lower": F.col("sma_20") - two, "macd_histogram": F.col("macd") - F.col("macd_signal"), "is_warmup": F.col("_n") <= WARMUP})
-    return df.select("symbol", "date", *FEATURES, "is_warmup")
+    derived = {"macd_histogram": F.col("macd") - F.col("macd_signal") if recursive else None, "bollinger_middle": F.col("sma_20"), "bollinger_upper": F.col("sma_20") + two, "bollinger_lower": F.col("sma_20") - two}
+    df = df.withColumns({c: derived[c] for c in derived if c in wanted} | {"is_warmup": F.col("_n") <= WARMUP})
+    complete = [(~missing_feature()).alias("is_complete")] if set(FEATURES) <= set(wanted) else []
+    return df.select("symbol", "date", *wanted, "is_warmup", *complete)
 
 
 def missing_feature() -> Column:
@@ -102,13 +111,13 @@ def missing_feature() -> Column:
 
 def usable_rows(features: DataFrame) -> DataFrame:
     """Rows past the warm-up in which no feature is missing."""
-    return features.where(~F.col("is_warmup") & ~missing_feature())
+    return features.where(~F.col("is_warmup") & F.col("is_complete"))
 
 
 def build_metrics(features: DataFrame) -> DataFrame:
     """One row: input, output, warm-up and missing row counts, dates of the output and its symbols."""
-    usable = ~F.col("is_warmup") & ~missing_feature()
+    usable = ~F.col("is_warmup") & F.col("is_complete")
     return features.agg(
-        F.count("*").alias("input_rows"), F.count_if(usable).alias("output_rows"), F.count_if("is_warmup").alias("warmup_rows_removed"), F.count_if(~F.col("is_warmup") & missing_feature()).alias("missing_rows"),
+        F.count("*").alias("input_rows"), F.count_if(usable).alias("output_rows"), F.count_if("is_warmup").alias("warmup_rows_removed"), F.count_if(~F.col("is_warmup") & ~F.col("is_complete")).alias("missing_rows"),
         F.min(F.when(usable, F.col("date"))).alias("earliest_date"), F.max(F.when(usable, F.col("date"))).alias("latest_date"), F.array_join(F.array_sort(F.collect_set(F.when(usable, F.col("symbol")))), ",").alias("symbols"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapemill.operators import datasets, indicators, registry
 from tapemill.plans.indicator_plans import BARS, rounded
+from tapemill.session import durable
 from tapemill.sources.tables import order_bars, table
 
 LEAST = 252
@@ -58,7 +59,7 @@ def symbol_datasets(spark, d):
 
 
 def skipped_symbols(spark, d):
-    features = _features(spark, d)
+    features = _flags(spark, d)
     return datasets.skipped_symbols(features, datasets.symbol_datasets(features, LEAST))
 
 
@@ -84,7 +85,8 @@ def scaler_fit(spark, d):
 
 
 def standard_scale(spark, d):
-    split = datasets.chronological_split(_master(spark, d), "master")
+    # The dataset is used twice, to fit and to scale: kept, and only what is scaled.
+    split = durable(datasets.chronological_split(_master(spark, d).select("symbol", "date", "close", "sma_20"), "master"))
     return datasets.scale(split, datasets.fit_scaler(split, ["close", "sma_20"]), ["close", "sma_20"]).select("symbol", "date", rounded("close"), rounded("sma_20"))
 
 
@@ -92,8 +94,13 @@ def symbol_eligibility(spark, d):
     return datasets.eligibility(order_bars(spark, d), order_registry(spark, d), _features(spark, d), LEAST)
 
 
+def _flags(spark, d):
+    """What readiness needs of the features, kept: it is looked at twice, and narrow beside what it is made from."""
+    return durable(_features(spark, d).select("symbol", "date", "is_warmup", "is_complete", "is_active", "security_type"))
+
+
 def _readiness(spark, d):
-    features = _features(spark, d)
+    features = _flags(spark, d)
     return datasets.readiness(order_bars(spark, d), order_registry(spark, d), features, datasets.symbol_datasets(features, LEAST).where("symbol <> '4-NOT SPECIFIED'"), LEAST)
 
 

@@ -65,12 +65,12 @@ def rounded(c: str) -> Column:
     return F.round(F.col(c).cast("double"), 6).alias(c)
 
 
-def _features(spark: SparkSession, d: str) -> DataFrame:
-    return indicators.calculate_features(order_bars(spark, d))
+def _features(spark: SparkSession, d: str, wanted: tuple[str, ...] = indicators.FEATURES) -> DataFrame:
+    return indicators.calculate_features(order_bars(spark, d), wanted)
 
 
 def _show(columns: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: _features(spark, d).select("symbol", "date", *[rounded(c) for c in columns])
+    return lambda spark, d: _features(spark, d, columns).select("symbol", "date", *[rounded(c) for c in columns])
 
 
 def _rounds(columns: tuple[str, ...]) -> str:
@@ -82,7 +82,7 @@ def daily_bars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def warmup_flag(spark: SparkSession, d: str) -> DataFrame:
-    return _features(spark, d).select("symbol", "date", "is_warmup")
+    return _features(spark, d, ()).select("symbol", "date", "is_warmup")
 
 
 def usable_rows(spark: SparkSession, d: str) -> DataFrame:
