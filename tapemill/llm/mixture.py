@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapemill.llm.tokens import VOCABULARY, encoder, sound, spread
+from tapemill.llm.tokens import VOCABULARY, encoder, sound
 from tapemill.session import durable
 
 BLOCK_TOKENS = 128
-#: Documents of a source are spread over so many buckets at least, each a task's matter.
-BUCKETS = 64
+#: Documents of a source are spread over so many buckets at least, or as many as keep this many documents in one.
+BUCKETS, BUCKET_DOCUMENTS = 64, 100_000
 SLOTS_PER_SHARD, MOST_SHARDS, MOST_SOURCES = 1024, 8192, 10_000
 SEED = 1729
 
@@ -55,7 +55,7 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 6)
     return out
 
 
-def token_blocks(documents: DataFrame, block: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY, buckets: int = BUCKETS) -> DataFrame:
+def token_blocks(documents: DataFrame, block: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY, buckets: int | None = None) -> DataFrame:
     """(source, block_index, n_tokens, tokens, doc_ids, doc_starts): each source's tokens in blocks of ``block``.
 
     Documents follow each other in (bucket, doc_id) order, a source's last block may be short. Null and empty texts
@@ -70,9 +70,12 @@ def token_blocks(documents: DataFrame, block: int = BLOCK_TOKENS, vocabulary: st
                 ids = [tokenizer.encode_ordinary(sound(t)) for t in some.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column("source"), some.column("doc_id"), some.column("bucket"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())], ["source", "doc_id", "bucket", "ids", "n"])
 
+    buckets = buckets or max(BUCKETS, -(-documents.count() // BUCKET_DOCUMENTS))
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
     texts = documents.where("source is not null and text <> ''").select("source", "doc_id", bucket, "text")
-    told = durable(spread(texts).mapInArrow(tokenize, "source string, doc_id bigint, bucket int, ids array<int>, n bigint"))
+    ordered = texts.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "doc_id")
+    # Kept with its partitions and their order: what follows reads it twice, and in place.
+    told = durable(ordered.mapInArrow(tokenize, "source string, doc_id bigint, bucket int, ids array<int>, n bigint"))
     sums = told.groupBy("source", "bucket").agg(F.sum("n").alias("many"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("offset"))
@@ -97,7 +100,7 @@ def token_blocks(documents: DataFrame, block: int = BLOCK_TOKENS, vocabulary: st
                 kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*some, strict=True), kinds, strict=True)], ["source", "block_index", "start", "doc_id", "part"])
 
-    placed = told.join(offsets, ["source", "bucket"]).repartition("source", "bucket").sortWithinPartitions("source", "bucket", "doc_id")
+    placed = told.join(F.broadcast(offsets), ["source", "bucket"])  # a row per source and bucket, see the bounds
     parts = placed.select("source", "doc_id", "bucket", "offset", "ids").mapInArrow(place, "source string, block_index bigint, start int, doc_id bigint, part array<int>")
     # At most ``block`` parts meet in a block.
     blocks = parts.groupBy("source", "block_index").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id", "part"))).alias("parts"))
@@ -144,7 +147,7 @@ def _targets(targets: DataFrame) -> list:
     return rows
 
 
-def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY, seed: int = SEED, buckets: int | None = None) -> DataFrame:
     """The mixture, a row per slot: shard, slot_order, source, repeat, block_index, n_tokens, tokens, doc_ids, doc_starts.
 
     The mixture is as large as the shares and caps allow; no block of a source comes more than ``max_repeats`` times,
