@@ -109,4 +109,9 @@ def p7_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.column_profile(_t(spark, d, "market_bars"), _t(spark, d, "market_loads"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_figures, p2_found, p2_reasons, p3_found, p3_known, p4_found, p4_history, p5_found, p5_grid, p6_found, p6_rows, p6_files, p7_found, p7_profile)}
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The profile's counts and moments, rounded."""
+    return p7_profile(spark, d).select("load_id", "column_name", "rows", "nulls", "distinct_values", "pattern_violations", F.round("mean", 4).alias("mean"), F.round("deviation", 2).alias("deviation"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_figures, p2_found, p2_reasons, p3_found, p3_known, p4_found, p4_history, p5_found, p5_grid, p6_found, p6_rows, p6_files, p7_found, p7_profile, p7_rates)}

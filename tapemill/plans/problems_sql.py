@@ -143,4 +143,53 @@ where not (ok and n = 10 and coalesce(f[1] <> '' and regexp_matches(f[2], '^\\d{
   and regexp_matches(g[10], '^[0-9]+$') and try_cast(g[5] as double) >= try_cast(g[6] as double), false))
 """
 
-SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_known": P3_KNOWN, "p4_found": P4, "p4_history": P4_HISTORY, "p5_found": P5, "p6_found": P6, "p7_found": P7}
+P1_FIGURES = f"""
+with {_FORCE},
+moves as (select symbol, feed, date, close / lag(close) over (partition by symbol, feed order by date) - 1 as r from bars where close > 0),
+lives as (select symbol, feed, min(date) as a, max(date) as z from bars group by 1, 2),
+days as (select symbol, feed, unnest(generate_series(a::timestamp, z::timestamp, interval 1 day))::date as date from lives),
+dense as (
+  select d.symbol, d.feed, d.date, b.close, b.volume, m.r from days d left join bars b on b.symbol = d.symbol and b.feed = d.feed and b.date = d.date left join moves m on m.symbol = d.symbol and m.feed = d.feed and m.date = d.date)
+select symbol, feed, date, coalesce(sum(volume) over (w rows 6 preceding), 0)::bigint as volume_total_7, coalesce(sum(volume) over (w rows 29 preceding), 0)::bigint as volume_total_30, round(coalesce(sum(volume) over (w rows 19 preceding), 0) / 20.0::double, 6) as volume_ma_20,
+  round(avg(close) over (w rows 19 preceding), 6) as sma_20, round(stddev_samp(r) over (w rows 19 preceding), 6) as rolling_volatility_20
+from dense window w as (partition by symbol, feed order by date)
+"""
+
+_REASONS = f"""
+with {_FORCE},
+reasons as (
+  select symbol, feed, date, 'close' as field, 1 as k from bars where close <= 0
+  union all select symbol, feed, date, 'volume', 1 from bars where volume < 0
+  union all select symbol, feed, date, 'change_percent', 1 from bars where change_percent < -100
+  union all select *, 2 from ({_spike('close')}) union all select *, 2 from ({_spike('volume')})
+  union all select symbol, feed, date, 'change_percent', 2 from (
+    select *, median(abs(change_percent)) filter (where change_percent <> 0) over (partition by symbol, feed) as size from bars) where abs(change_percent) > 10 * size
+  union all select *, 3 from ({_stuck('close')}) union all select *, 3 from ({_stuck('volume')}) union all select *, 3 from ({_stuck('change_percent')}))
+select symbol, feed, date, field, ['impossible', 'spike', 'stuck'][min(k)] as reason from reasons group by symbol, feed, date, field
+"""
+
+_LOADED = P6[: P6.rindex("select line_id, case when not ok")]
+_CONFORMS = P6[P6.rindex("where not (ok and n = 10") + len("where not (") : P6.rindex(")")]
+P6_ROWS = f"""{_LOADED} select line_id, source_file, line_no, f[1] as symbol, f[2]::date as date, g[3]::double as ldcp, g[4]::double as open, g[5]::double as high, g[6]::double as low, g[7]::double as close, g[8]::double as change,
+  regexp_replace(g[9], '%$', '')::double as change_percent, g[10]::bigint as volume from numbers join raw_lines using (line_id) where {_CONFORMS}"""
+P6_FILES = f"""{_LOADED}, counts as (select source_file, count(*) as parsed_rows, count(*) filter (where not ({_CONFORMS})) as rejected_rows from numbers join raw_lines using (line_id) group by 1)
+select source_file, coalesce(c.parsed_rows, 0) as parsed_rows, coalesce(c.parsed_rows - c.rejected_rows, 0) as valid_rows, coalesce(c.rejected_rows, 0) as rejected_rows, r.valid_rows as stated_valid, r.rejected_rows as stated_rejected,
+  coalesce(coalesce(c.rejected_rows, 0) = r.rejected_rows, false) and coalesce(coalesce(c.parsed_rows - c.rejected_rows, 0) = r.valid_rows, false) as agrees from counts c full join fetch_results r using (source_file)"""
+
+
+def _profile(column: str, number: str | None) -> str:
+    x = f"{column}::{number}" if number else "null::double"
+    text = {"symbol": "count(*) filter (where not regexp_matches(symbol, '^[A-Z0-9]+(-[A-Z]{3})?$'))", "feed": "count(*) filter (where not regexp_matches(feed, '^[a-z0-9_]+$'))"}.get(column, "0::bigint")
+    return f"select load_id, '{column}' as column_name, count(*) as rows, count(*) - count({column}) as nulls, count(distinct {column}) as distinct_values, {text} as pattern_violations, count({x}) as n, sum({x})::double as s1, sum(({x})::double * ({x})::double) as s2 from market_bars group by 1"
+
+
+_KINDS = dict.fromkeys(("ldcp", "open", "high", "low", "close", "change", "change_percent"), "decimal(18,4)") | {"volume": "decimal(18,0)"}
+P7_PROFILE = f"""
+with sums as ({" union all ".join(_profile(c, _KINDS.get(c)) for c in ("bar_id", "symbol", "feed", "date", *_KINDS, "ingested_at"))})
+select load_id, column_name, rows, nulls, distinct_values, pattern_violations, round(s1 / nullif(n, 0), 4) as mean, case when n > 1 then round(sqrt(greatest(0, (s2 - s1 * s1 / n) / (n - 1))), 2) end as deviation from sums
+"""
+
+SQL = {
+    "p1_found": P1, "p1_figures": P1_FIGURES, "p2_found": P2, "p2_reasons": _REASONS, "p3_found": P3, "p3_known": P3_KNOWN, "p4_found": P4, "p4_history": P4_HISTORY, "p5_found": P5,
+    "p6_found": P6, "p6_rows": P6_ROWS, "p6_files": P6_FILES, "p7_found": P7, "p7_rates": P7_PROFILE,
+}
