@@ -93,7 +93,7 @@ def column_profile(bars: DataFrame, loads: DataFrame, columns: tuple[str, ...] =
     counts come from one grouping by (load, column, value), pre-aggregated before the shuffle.
     """
     types = dict(bars.dtypes)
-    text = lambda c: (finite(c) if types[c] in ("double", "float") else F.col(c)).cast("string")
+    text = lambda c: (finite(c) + 0.0 if types[c] in ("double", "float") else F.col(c)).cast("string")  # noqa: E731  one zero
     values = bars.select("load_id", F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), text(c).alias("value")) for c in columns])))
     distinct = values.where("value is not null").groupBy("load_id", "column_name", "value").agg(F.lit(1).alias("one")).groupBy("load_id", "column_name").agg(F.count("*").alias("distinct_values"))
 

@@ -13,8 +13,8 @@ from tapemill.sources.tables import order_bars, table
 LEAST = 252
 REG = "reg as (select distinct o_orderpriority as symbol, o_orderpriority as company_name, o_orderpriority <> '5-LOW' as officially_listed, case when o_orderpriority = '1-URGENT' then 'etf' else 'ordinary_equity' end as security_type, o_orderpriority = '2-HIGH' as is_new_listing from orders)"
 MODELS = """
-models as (select 'symbol' as model_scope, o_orderpriority as symbol, year(o_orderdate) - 1990 as model_version, max(cast(o_orderdate as date)) as training_data_end, case when o_orderpriority = '3-MEDIUM' then 'failed' else 'trained' end as model_status from orders where year(o_orderdate) < 1998 group by all
-  union all select 'master', null, year(o_orderdate) - 1990, max(cast(o_orderdate as date)), 'trained' from orders where year(o_orderdate) < 1997 group by all),
+models as (select 'symbol' as model_scope, o_orderpriority as symbol, (year(o_orderdate) - 1990)::int as model_version, max(cast(o_orderdate as date)) as training_data_end, case when o_orderpriority = '3-MEDIUM' then 'failed' else 'trained' end as model_status from orders where year(o_orderdate) < 1998 group by all
+  union all select 'master', null, (year(o_orderdate) - 1990)::int, max(cast(o_orderdate as date)), 'trained' from orders where year(o_orderdate) < 1997 group by all),
 latest as (select * from models qualify row_number() over (partition by model_scope, symbol order by model_version desc) = 1)"""
 USABLE = f"""
 {BARS}, {REG}, {MODELS},

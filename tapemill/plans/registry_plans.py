@@ -28,7 +28,7 @@ merged as (
   select symbol, {_SQUEEZE.format('company_name')} as company_name, {_SQUEEZE.format('sector')} as sector, listed as officially_listed, first_seen_date, last_seen_date, coalesce(trading_days, 0) as trading_days, shares,
     case when listed then coalesce(official_status, 'unknown') else 'historical' end as official_status, case when listed then {_SQUEEZE.format('source')} else 'master_market_history' end as source,
     case when listed then coalesce(security_type, 'unknown') when regexp_matches(symbol, '{registry.LISTED_IN_MONTH}') then 'other' else 'unknown' end as security_type,
-    case when last_seen_date is null then null else age end as days_since_last_seen,
+    case when last_seen_date is null then null else age::int end as days_since_last_seen,
     case when last_seen_date is null then 'never_seen_in_market_history' when age <= 30 then 'recently_traded' else 'not_recently_traded' end as activity_status,
     listed and first_seen_date is not null and young <= 30 as is_new_listing, '' as notes from aged)"""
 _LIFE = "case when official_status = 'delisted' then 'officially_delisted' when official_status = 'suspended' then 'suspended' when official_status = 'non_compliant' then 'non_compliant' when is_new_listing and officially_listed then 'newly_listed' when officially_listed and activity_status = 'recently_traded' then 'listed_recently_traded' when officially_listed then 'listed_not_recently_traded' when official_status = 'historical' then 'historical_only' else 'unknown' end as lifecycle_status"
