@@ -175,7 +175,8 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK_TOKENS, voc
 
     found = slots.mapInArrow(find, "shard int, source string, slot bigint, repeat int, block_index bigint")
     order = F.xxhash64(F.lit(seed), "shard", "source", "slot").alias("slot_order")
-    return found.join(made, ["source", "block_index"]).select("shard", order, "source", "repeat", "block_index", "n_tokens", "tokens", "doc_ids", "doc_starts")
+    # Slots look few to the planner, which sees only their ranges: it must not broadcast them.
+    return found.hint("merge").join(made, ["source", "block_index"]).select("shard", order, "source", "repeat", "block_index", "n_tokens", "tokens", "doc_ids", "doc_starts")
 
 
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
