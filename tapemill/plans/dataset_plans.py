@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapemill.operators import datasets, indicators, registry
+from tapemill.operators import datasets
 from tapemill.plans.indicator_plans import BARS, rounded
 from tapemill.session import durable
 from tapemill.sources.tables import order_bars, table

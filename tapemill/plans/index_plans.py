@@ -163,6 +163,7 @@ def _r(*columns: str) -> str:
     return ", ".join(f"round(cast({c} as double), 6) as {c}" for c in columns)
 
 
+_ORDINARY = "and symbol in (select upper(trim(symbol)) from registry_updates where security_type = 'ordinary_equity')"
 _PICK = BREADTH.replace("RESTRICT", "")
 QUERIES = {f.__name__: f for f in (index_upsert, index_change, index_range_filter, index_ytd_filter, normalized_performance, index_context_wide, index_metrics, index_returns_ladder, index_volatility, index_health, index_health_period, health_comparison, market_breadth, breadth_restricted, market_breadth_by_date, market_health, period_summary, context_exact_join, context_asof_join)}
 _INDEX_SCORE = _score(_POINTS, indices.INDEX_WEIGHTS)
@@ -185,7 +186,7 @@ SQL = {
     "index_health_period": f"with {METRICS.replace('from series where value', 'from series where date >= (select max(date) from series) - interval 1 month and value')}, scored as (select index_code, {_INDEX_SCORE}, {' + '.join(f'case when ({p}) is null then 1 else 0 end' for p in _POINTS.values())} as unavailable from metrics) select index_code, {_LABEL}, available_weight, round_even(available_weight::double, 1) as coverage_percentage, unavailable from scored",
     "health_comparison": f"with {METRICS}, scored as (select index_code, {_INDEX_SCORE}, observations from metrics where index_code <> 'KMI30'), known(index_code) as (values ('KSE100'), ('KSE30'), ('KMI30'), ('ALLSHR')) select index_code, {_LABEL}, coalesce(observations, 0) as observation_count from known left join scored using (index_code)",
     "market_breadth": f"with {_PICK} select reference_date, {', '.join(_BREADTH)}, {', '.join(f'round({c}, 6) as {c}' for c in _SHARES)} from (select *, {SHARES} from breadth)",
-    "breadth_restricted": f"with {BREADTH.replace('RESTRICT', ' and symbol in (select upper(trim(symbol)) from registry_updates where security_type = ' + chr(39) + 'ordinary_equity' + chr(39) + ')')} select reference_date, {', '.join(_BREADTH)} from breadth",
+    "breadth_restricted": f"with {BREADTH.replace('RESTRICT', _ORDINARY)} select reference_date, {', '.join(_BREADTH)} from breadth",
     "market_breadth_by_date": f"with {_PICK}, per as (select date as reference_date, count(*) as universe_size, count(*) filter (where change > 0) as advancing, count(*) filter (where change < 0) as declining, count(*) filter (where change = 0) as unchanged, sum(greatest(volume, 0))::double as total_volume from usable group by 1) select reference_date, {', '.join(_BREADTH)}, {', '.join(f'round({c}, 6) as {c}' for c in _SHARES)} from (select *, {SHARES} from per)",
     "market_health": f"with {METRICS}, {_PICK}, one as (select {_trend('KSE100')} as t1, {_trend('KSE30')} as t2, {_trend('KMI30')} as t3, {_trend('ALLSHR')} as t4, avg(latest_volume / nullif(average_volume_20, 0)) as vol, avg(case when versus_ma_20_percent > 0 then 1.0 when versus_ma_20_percent is not null then 0.0 end) as above, avg(rolling_volatility_20) as dev from metrics), scored as (select {_score(_MARKET_POINTS, indices.MARKET_WEIGHTS)}, reference_date from one, (select *, {SHARES} from breadth)) select score, {_LABEL}, available_weight, reference_date from scored",
     "period_summary": f"with {SERIES}, part as (select * from series where date >= (select max(date) from series) - interval 3 month) select index_code, arg_min(value, date) as first, arg_max(value, date) as latest, max(value) as high, min(value) as low, count(distinct date) as days, sum(volume)::bigint as total_volume, round((arg_max(value, date) / arg_min(value, date) - 1) * 100, 6) as period_return from part group by 1",

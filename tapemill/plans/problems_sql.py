@@ -2,10 +2,10 @@
 
 _FORCE = """
 force as (
-  select upper(trim(symbol)) as symbol, feed, date, arg_max(close, ingested_at) filter (where true) as c0, max(ingested_at) as at
+  select upper(trim(symbol)) as symbol, feed, date, max(ingested_at) as at
   from market_bars group by 1, 2, 3),
 bars as (
-  select upper(trim(b.symbol)) as symbol, b.feed, b.date, any_value(b.bar_id) as any_id, max(b.close) as close, max(b.volume) as volume, max(b.change_percent) as change_percent
+  select upper(trim(b.symbol)) as symbol, b.feed, b.date, max(b.close) as close, max(b.volume) as volume, max(b.change_percent) as change_percent
   from market_bars b join force f on upper(trim(b.symbol)) = f.symbol and b.feed = f.feed and b.date = f.date and b.ingested_at = f.at
   group by 1, 2, 3)"""
 

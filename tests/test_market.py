@@ -163,8 +163,6 @@ def test_datasets(spark):
 
 
 def test_split_sizes_follow_truncation(spark):
-    got = spark.range(3, 400).select("id", *[datasets.split_label(F.lit(0) + k, F.col("id")).alias(f"s{k}") for k in (1,)], F.expr("1").alias("x")).count()
-    assert got == 397
     for n in (3, 4, 7, 20, 100, 261):
         train, val = max(1, int(n * 0.7)), max(1, int(n * 0.15))
         if train + val >= n:
