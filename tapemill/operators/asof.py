@@ -139,15 +139,21 @@ def known_at(
     past = Window.partitionBy("entity").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     carried = shards.select("entity", "shard", *[F.max(f"b{i}").over(past).alias(f"b{i}") for i in range(len(names))])
 
-    def value_rows(df: DataFrame, i: int, b: str) -> DataFrame:
-        known = F.lit(_NEVER) if b else F.col("known")
-        got = (lambda c: F.col(f"{b}.{c}")) if b else F.col
-        return df.where(f"{b or f'v{i}'} is not null").select("entity", "shard", F.lit(None).cast(events.schema[event_id].dataType).alias("event"), F.lit(i).alias("attribute"), known.alias("known"), got("valid").alias("valid"), got("known").alias("arrived"), got("key").alias("key"), (got("value") if b else F.col(f"v{i}")).alias("value"))
-
-    nothing = F.lit(None)
-    rows = asked.select("entity", "shard", "event", F.lit(None).cast("int").alias("attribute"), "known", nothing.cast("long").alias("valid"), nothing.cast("long").alias("arrived"), nothing.cast("long").alias("key"), nothing.cast("string").alias("value"))
-    for i in range(len(names)):
-        rows = rows.unionByName(value_rows(told, i, "")).unionByName(value_rows(carried, i, f"b{i}"))
+    def value_rows(df: DataFrame, each: list[Column]) -> DataFrame:
+        """A row per attribute that has a value, all from one pass."""
+        rows = df.select("entity", "shard", F.inline(F.filter(F.array(*each), lambda x: x["value"].isNotNull())))
+        return rows.withColumn("event", F.lit(None).cast(events.schema[event_id].dataType))
+
+    def one(i: int, known: Column, of: Column | None) -> Column:
+        got = F.col if of is None else of.getField
+        fields = (F.lit(i).alias("attribute"), known.alias("known"), got("valid").alias("valid"), got("known").alias("arrived"), got("key").alias("key"))
+        return F.struct(*fields, (F.col(f"v{i}") if of is None else of["value"]).alias("value"))
+
+    reported = value_rows(told, [one(i, F.col("known"), None) for i in range(len(names))])
+    before = value_rows(carried, [one(i, F.lit(_NEVER), F.col(f"b{i}")) for i in range(len(names))])
+    nothing = {"attribute": "int", "valid": "bigint", "arrived": "bigint", "key": "bigint", "value": "string"}
+    rows = asked.select("entity", "shard", "event", "known", *[F.lit(None).cast(kind).alias(c) for c, kind in nothing.items()])
+    rows = rows.unionByName(reported).unionByName(before)
     rows = rows.withColumn("late", F.col("event").isNotNull())
     kind = events.schema[event_id].dataType.simpleString()
     arrow = pa.schema([("event", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), *[(a, pa.string()) for a in names]])
