@@ -84,9 +84,9 @@ def null_counts(df: DataFrame) -> DataFrame:
     return wide.select(F.inline("a"))
 
 
-def history_lengths(bars: DataFrame) -> DataFrame:
-    """One row on the symbols' row counts: symbols, mean, sample deviation, least, quartiles, greatest."""
-    n = bars.groupBy("symbol").agg(F.count("*").alias("n"))
+def history_lengths(bars: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row on the row counts of symbols, or of series by the further keys ``by``: symbols, mean, sample deviation, least, quartiles, greatest."""
+    n = bars.groupBy(*by, "symbol").agg(F.count("*").alias("n"))
     return n.agg(F.count("*").alias("symbols"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("deviation"), F.min("n").alias("least"), *[F.percentile("n", F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)], F.max("n").alias("greatest"))
 
 

@@ -149,40 +149,47 @@ def health_comparison(health: DataFrame) -> DataFrame:
     return joined.withColumns({"label": F.coalesce("label", F.lit("Unavailable")), "observation_count": F.coalesce("observation_count", F.lit(0)), "coverage_percentage": F.coalesce("coverage_percentage", F.lit(0.0))})
 
 
-def breadth(changes: DataFrame, universe: DataFrame | None = None, by_date: bool = False) -> DataFrame:
+def breadth(changes: DataFrame, universe: DataFrame | None = None, by_date: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Advancing, declining and unchanged counts, their ratio and shares, and the volume.
 
     Rows with a null in symbol, date, change or volume drop; then only the latest date is kept, before the universe
     (symbols) restricts it; ``by_date`` keeps every date. The ratio is infinite if none declines but some advance, null
     if neither. Negative volumes count as 0. Without a row there is one of zeros and nulls (none with ``by_date``).
+    With further keys ``by`` each of their values has its own latest date and row; none without a row.
     """
-    rows = changes.select("symbol", "date", finite(F.col("change").cast("double")).alias("change"), finite(F.col("volume").cast("double")).alias("volume")).na.drop()
-    if not by_date:
+    rows = changes.select(*by, "symbol", "date", finite(F.col("change").cast("double")).alias("change"), finite(F.col("volume").cast("double")).alias("volume")).na.drop(subset=["symbol", "date", "change", "volume"])
+    if by and not by_date:
+        last = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.max("date").alias("_latest"))
+        same = F.col("date") == F.col("_latest")
+        for k in by:
+            same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+        rows = rows.join(last, same, "left_semi")
+    elif not by_date:
         rows = rows.join(F.broadcast(rows.agg(F.max("date").alias("_latest"))), F.col("date") == F.col("_latest")).drop("_latest")  # one row
     if universe is not None:
         rows = rows.join(universe.select("symbol").distinct(), "symbol", "left_semi")
     up, down = F.count_if(F.col("change") > 0), F.count_if(F.col("change") < 0)
     sums = [F.count("*").alias("universe_size"), up.alias("advancing"), down.alias("declining"), F.count_if(F.col("change") == 0).alias("unchanged"), F.sum(F.greatest("volume", F.lit(0.0))).alias("total_volume")]
-    out = rows.groupBy("date").agg(*sums).withColumnRenamed("date", "reference_date") if by_date else rows.agg(F.max("date").alias("reference_date"), *sums)
+    out = rows.groupBy(*by, "date").agg(*sums).withColumnRenamed("date", "reference_date") if by_date or by else rows.agg(F.max("date").alias("reference_date"), *sums)
     share = lambda c: F.try_divide(F.col(c) * 100.0, F.col("universe_size"))
     ratio = F.when(F.col("declining") > 0, F.col("advancing") / F.col("declining")).when(F.col("advancing") > 0, F.lit(float("inf")))
     return out.withColumns({"advance_decline_ratio": ratio, "advancing_percent": share("advancing"), "declining_percent": share("declining"), "unchanged_percent": share("unchanged")})
 
 
-def market_health(figures: DataFrame, market: DataFrame) -> DataFrame:
-    """One score from all indices' :func:`metrics` and the one row of :func:`breadth` (M3)."""
+def market_health(figures: DataFrame, market: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A score from all indices' :func:`metrics` and each row of :func:`breadth`, after its keys ``by`` (M3)."""
     trend = lambda code: clamp(0.5 + F.max(F.when(F.col("index_code") == code, F.col("one_month_return"))) / 20)
     above = F.when(F.col("versus_ma_20_percent").isNotNull(), F.when(F.col("versus_ma_20_percent") > 0, 1.0).otherwise(0.0))
     one = figures.agg(
         *[trend(c).alias(c) for c in INDEX_CODES], F.avg(F.when(F.col("average_volume_20") != 0, F.col("latest_volume") / F.col("average_volume_20"))).alias("_volume"), F.avg(above).alias("_above"), F.avg("rolling_volatility_20").alias("_deviation"),
     )
-    both = one.join(F.broadcast(market))  # one row by one row
+    both = one.join(F.broadcast(market))  # one row by one row, or by one for each of the market's further keys
     low = lambda c, k: F.when(F.col(c).isNotNull(), F.least(F.lit(1.0), F.col(c) / k))
     factors = {
         "KSE100 trend": F.col("KSE100"), "KSE30 trend": F.col("KSE30"), "KMI30 trend": F.col("KMI30"), "All Share trend": F.col("ALLSHR"), "Advance/decline ratio": low("advance_decline_ratio", 2.0), "Advancing securities": low("advancing_percent", 70.0),
         "Volume participation": low("_volume", 1.0), "Moving-average position": F.col("_above"), "Volatility penalty": F.when(F.col("_deviation").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("_deviation") / 50)),
     }
-    return _scored(both, factors, MARKET_WEIGHTS).select("score", "label", "points", "explanations", "reference_date", "available_weight", F.col("unavailable").alias("unavailable_components"))
+    return _scored(both, factors, MARKET_WEIGHTS).select(*by, "score", "label", "points", "explanations", "reference_date", "available_weight", F.col("unavailable").alias("unavailable_components"))
 
 
 def period_summary(rows: DataFrame, key: str, value: str, volume: str) -> DataFrame:

@@ -28,8 +28,8 @@ def validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classified.where("reason = ''").drop("reason"), classified.where("reason <> ''")
 
 
-def fatal_errors(bars: DataFrame) -> DataFrame:
-    """(symbol, errors) of symbols that cannot be used, their faults joined by "; " in fixed order.
+def fatal_errors(bars: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, errors), after the further keys ``by``, of symbols that cannot be used, their faults joined by "; " in fixed order.
 
     Rows whose symbol is null or blank come out under ``<missing>``. Null dates are invalid, and repeat each other.
     """
@@ -42,12 +42,12 @@ def fatal_errors(bars: DataFrame) -> DataFrame:
     for c in OHLCV[:4]:
         negative |= F.coalesce(finite(c) <= 0, F.lit(False))
     # By day first: then a symbol's repeated dates are known without a distinct over the whole of it.
-    days = named.groupBy("symbol", "date").agg(F.count("*").alias("n"), F.bool_or(absent).alias("absent"), F.bool_or(F.coalesce(finite("high") < finite("low"), F.lit(False))).alias("crossed"), F.bool_or(F.coalesce(F.col("volume") < 0, F.lit(False))).alias("short"), F.bool_or(negative).alias("negative"))
-    faults = days.groupBy("symbol").agg(
+    days = named.groupBy(*by, "symbol", "date").agg(F.count("*").alias("n"), F.bool_or(absent).alias("absent"), F.bool_or(F.coalesce(finite("high") < finite("low"), F.lit(False))).alias("crossed"), F.bool_or(F.coalesce(F.col("volume") < 0, F.lit(False))).alias("short"), F.bool_or(negative).alias("negative"))
+    faults = days.groupBy(*by, "symbol").agg(
         F.concat_ws("; ", F.when(F.bool_or(F.col("date").isNull()), "invalid trading date"), F.when(F.bool_or("absent"), "missing or invalid OHLCV value"), F.when(F.bool_or(F.col("n") > 1), "duplicate trading date"),
                     F.when(F.bool_or("crossed"), "high is lower than low"), F.when(F.bool_or("short"), "volume is negative"), F.when(F.bool_or("negative"), "price is not positive")).alias("errors")
     )
-    return faults.select(F.coalesce("symbol", F.lit("<missing>")).alias("symbol"), F.when(F.col("symbol").isNull(), "symbol is empty").otherwise(F.col("errors")).alias("errors")).where("errors <> ''")
+    return faults.select(*by, F.coalesce("symbol", F.lit("<missing>")).alias("symbol"), F.when(F.col("symbol").isNull(), "symbol is empty").otherwise(F.col("errors")).alias("errors")).where("errors <> ''")
 
 
 def dataset_summary(df: DataFrame, required: tuple[str, ...]) -> DataFrame:

@@ -175,8 +175,8 @@ def attach(features: DataFrame, registry: DataFrame) -> DataFrame:
     return joined.withColumns({"is_active": F.coalesce("is_active", F.lit(False)), **{c: F.coalesce(c, F.lit("unknown")) for c in ("official_status", "lifecycle_status", "security_type")}})
 
 
-def company_summary(bars: DataFrame, registry: DataFrame, tie: str) -> DataFrame:
-    """First and last date, distinct days, latest close (of the last dated row, null kept) and metadata."""
-    days = bars.where("date is not null and trim(symbol) <> ''").groupBy("symbol", "date").agg(F.count("*").alias("n"), F.max(F.struct(tie, "close"))["close"].alias("close"))
-    per = days.groupBy("symbol").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("trading_days"), F.sum("n").alias("rows"), F.max_by("close", "date").alias("latest_close"))
+def company_summary(bars: DataFrame, registry: DataFrame, tie: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per symbol, and the further keys ``by``, first and last date, distinct days, latest close (of the last dated row, null kept) and metadata."""
+    days = bars.where("date is not null and trim(symbol) <> ''").groupBy(*by, "symbol", "date").agg(F.count("*").alias("n"), F.max(F.struct(tie, "close"))["close"].alias("close"))
+    per = days.groupBy(*by, "symbol").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("trading_days"), F.sum("n").alias("rows"), F.max_by("close", "date").alias("latest_close"))
     return per.join(registry.select("symbol", "company_name", "sector", "security_type", "official_status", "lifecycle_status"), "symbol", "left")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from tapemill.plans import dataset_plans, explore_plans, index_plans, indicator_plans, problems, problems_sql, registry_plans
+from tapemill.plans import dataset_plans, explore_plans, index_plans, indicator_plans, problems, problems_sql, registry_plans, whole_plans
 
 _MODULES = (indicator_plans, registry_plans, index_plans, dataset_plans, explore_plans)
 
 
 def queries() -> dict:
-    return {k: q for m in _MODULES for k, q in m.QUERIES.items()} | problems.QUERIES
+    return {k: q for m in _MODULES for k, q in m.QUERIES.items()} | whole_plans.QUERIES | problems.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

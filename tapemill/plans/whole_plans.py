@@ -1,0 +1,137 @@
+"""Queries over all rows of their tables, where the query of the same name without ``_whole`` takes a part, as its SQL does.
+
+A series is a symbol of a feed: where an operator needs one row per series and day, the feed is a further key. They have no
+SQL; the tests compare them with brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapemill.operators import dedup, explore, indices, quality, registry
+from tapemill.plans import index_plans, registry_plans
+from tapemill.plans.indicator_plans import rounded
+from tapemill.sources.tables import all_bars, index_series
+
+FEED = ("feed",)
+SERIES = ["feed", "symbol", "date"]
+
+
+def merged(spark: SparkSession, d: str) -> DataFrame:
+    return registry.merge(registry_plans.listings(spark, d), registry.history_ranges(all_bars(spark, d)), registry_plans.REFERENCE)
+
+
+def master_dedup_whole(spark, d):
+    return dedup.keep_last(all_bars(spark, d), SERIES, ["ingested_at", "bar_id"]).select("feed", "symbol", "date", "close", "volume", "bar_id")
+
+
+def duplicate_count_whole(spark, d):
+    return dedup.duplicate_count(all_bars(spark, d), SERIES)
+
+
+def conflict_report_whole(spark, d):
+    return dedup.conflicts(all_bars(spark, d), SERIES, ["open", "high", "low", "close", "volume"], "ingested_at", "load_id").select("feed", "symbol", "date", "versions", "payloads")
+
+
+def record_validation_whole(spark, d):
+    rows = all_bars(spark, d)
+    return rows.select("bar_id", quality.validation_reasons(rows).alias("reason"))
+
+
+def valid_counts_whole(spark, d):
+    good, bad = quality.validate(all_bars(spark, d))
+    return good.agg(F.count("*").alias("rows")).select(F.lit("valid").alias("kind"), "rows").unionByName(bad.agg(F.count("*").alias("rows")).select(F.lit("rejected").alias("kind"), "rows"))
+
+
+def quality_errors_whole(spark, d):
+    return quality.fatal_errors(all_bars(spark, d), FEED)
+
+
+def dataset_validation_whole(spark, d):
+    return quality.dataset_summary(all_bars(spark, d), ("symbol", "date", "close", "feature_version"))
+
+
+def dataset_summary_whole(spark, d):
+    return explore.summary(all_bars(spark, d))
+
+
+def history_lengths_whole(spark, d):
+    return explore.history_lengths(all_bars(spark, d), FEED).select("symbols", rounded("mean"), rounded("deviation"), "least", "p25", "p50", "p75", "greatest")
+
+
+def history_ranges_whole(spark, d):
+    """Days on which a symbol was traded in any feed."""
+    return registry.history_ranges(all_bars(spark, d))
+
+
+def registry_outer_merge_whole(spark, d):
+    return merged(spark, d).select(*registry_plans._SHOWN)
+
+
+def lifecycle_status_whole(spark, d):
+    return merged(spark, d).groupBy("lifecycle_status").agg(F.count("*").alias("symbols"))
+
+
+def activity_status_whole(spark, d):
+    return merged(spark, d).groupBy("activity_status", "is_new_listing").agg(F.count("*").alias("symbols"), F.max("days_since_last_seen").alias("oldest"))
+
+
+def override_merge_whole(spark, d):
+    return registry.override(merged(spark, d), registry_plans.overrides(spark, d), check=False).select("symbol", "company_name", "official_status", "successor_symbol", "notes", "source", "lifecycle_status")
+
+
+def registry_counts_whole(spark, d):
+    return registry.counts(merged(spark, d))
+
+
+def registry_filter_whole(spark, d):
+    return registry.select_rows(merged(spark, d), {"security_type": ["ordinary_equity", "etf"], "sector": []}, listed_only=True, search="LI", least_days=20).select("symbol", "company_name", "security_type", "trading_days")
+
+
+def semi_restrict_whole(spark, d):
+    return registry.restrict(all_bars(spark, d), registry.select_rows(merged(spark, d), ordinary_only=True)).groupBy("feed", "symbol").agg(F.count("*").alias("rows"))
+
+
+def training_universe_whole(spark, d):
+    return registry.universe(merged(spark, d), ["ordinary_equity"], 60)
+
+
+def company_summary_whole(spark, d):
+    return registry.company_summary(all_bars(spark, d), merged(spark, d), "bar_id", FEED).select("feed", "symbol", "first_date", "last_date", "trading_days", "rows", "latest_close", "company_name", "lifecycle_status")
+
+
+def _series_day(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.keep_last(all_bars(spark, d), SERIES, ["ingested_at", "bar_id"]).select("feed", "symbol", "date", "change", "volume")
+
+
+def market_breadth_whole(spark, d):
+    """Of each feed on its own latest date."""
+    return indices.breadth(_series_day(spark, d), by=FEED).select("feed", "reference_date", *index_plans._BREADTH, *[rounded(c) for c in index_plans._SHARES])
+
+
+def breadth_restricted_whole(spark, d):
+    return indices.breadth(_series_day(spark, d), index_plans._universe(spark, d), by=FEED).select("feed", "reference_date", *index_plans._BREADTH)
+
+
+def market_breadth_by_date_whole(spark, d):
+    return indices.breadth(_series_day(spark, d), by_date=True, by=FEED).select("feed", "reference_date", *index_plans._BREADTH, *[rounded(c) for c in index_plans._SHARES])
+
+
+def market_health_whole(spark, d):
+    return indices.market_health(indices.metrics(index_series(spark, d)), indices.breadth(_series_day(spark, d), by=FEED), FEED).select("feed", "score", "label", "available_weight", "reference_date")
+
+
+def context_exact_join_whole(spark, d):
+    return indices.join_context(_series_day(spark, d), indices.context(index_series(spark, d))).select("feed", "symbol", "date", rounded("kse100_value"), rounded("kse100_return_1d"), rounded("allshr_value"))
+
+
+def context_asof_join_whole(spark, d):
+    return indices.join_context(_series_day(spark, d), indices.context(index_series(spark, d)), 3).select("feed", "symbol", "date", "context_date", rounded("kse100_value"), rounded("allshr_value"))
+
+
+QUERIES = {f.__name__: f for f in (
+    master_dedup_whole, duplicate_count_whole, conflict_report_whole, record_validation_whole, valid_counts_whole, quality_errors_whole, dataset_validation_whole, dataset_summary_whole, history_lengths_whole, history_ranges_whole,
+    registry_outer_merge_whole, lifecycle_status_whole, activity_status_whole, override_merge_whole, registry_counts_whole, registry_filter_whole, semi_restrict_whole, training_universe_whole, company_summary_whole,
+    market_breadth_whole, breadth_restricted_whole, market_breadth_by_date_whole, market_health_whole, context_exact_join_whole, context_asof_join_whole,
+)}

@@ -21,9 +21,14 @@ def order_bars(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def all_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of every feed as delivered, versions and faults included, with the symbol in key form."""
+    return table(spark, d, "market_bars").withColumn("symbol", symbol_key("symbol"))
+
+
 def feed_bars(spark: SparkSession, d: str) -> DataFrame:
     """Bars of the official feed as delivered, versions and faults included, with the symbol in key form."""
-    return table(spark, d, "market_bars").where("feed = 'official'").withColumn("symbol", symbol_key("symbol"))
+    return all_bars(spark, d).where("feed = 'official'")
 
 
 def index_series(spark: SparkSession, d: str) -> DataFrame:

@@ -1,0 +1,90 @@
+"""Queries over all rows of their tables: the SQL of their namesakes without the part they take, and brute force."""
+
+from __future__ import annotations
+
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import pytest
+from test_oracles import plain
+
+from tapemill.plans import registry
+
+#: What the SQL of the namesakes is to lose or gain to cover every feed.
+EVERY = {"where feed = 'official'": "where true"}
+BY_FEED = EVERY | {"partition by symbol, date": "partition by feed, symbol, date", "(symbol, date)": "(feed, symbol, date)", "select symbol, date": "select feed, symbol, date", "group by 1, 2 having": "group by 1, 2, 3 having"}
+TESTED = {
+    "record_validation": EVERY, "valid_counts": EVERY, "dataset_validation": EVERY, "dataset_summary": EVERY, "history_ranges": EVERY, "registry_outer_merge": EVERY, "lifecycle_status": EVERY, "activity_status": EVERY, "registry_counts": EVERY, "registry_filter": EVERY, "training_universe": EVERY,
+    "master_dedup": BY_FEED, "duplicate_count": BY_FEED, "conflict_report": BY_FEED,
+    "quality_errors": EVERY | {"select symbol, errors": "select feed, symbol, errors", "(select symbol, concat_ws": "(select feed, symbol, concat_ws", "from feed group by 1)": "from feed group by 1, 2)"},
+    "history_lengths": EVERY | {"group by upper(trim(symbol))": "group by feed, upper(trim(symbol))"},
+    "semi_restrict": EVERY | {"select symbol, count(*) as rows from feed": "select feed, symbol, count(*) as rows from feed", "'ordinary_equity') group by 1": "'ordinary_equity') group by 1, 2"},
+    "context_exact_join": EVERY | {"day as (select upper": "day as (select feed, upper", "partition by upper(trim(symbol)), date": "partition by feed, upper(trim(symbol)), date", "select symbol, date, round": "select feed, symbol, date, round"},
+}
+
+
+@pytest.fixture(scope="module")
+def db(sf):
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    for p in Path(sf).glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from '{p}'")
+    return con
+
+
+def rows(df):
+    return Counter(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect())
+
+
+def told(db, sql):
+    got = db.execute(sql)
+    columns = [c[0] for c in got.description]
+    order = [columns.index(c) for c in sorted(columns)]
+    return sorted(columns), Counter(tuple(plain(r[i]) for i in order) for r in got.fetchall())
+
+
+@pytest.mark.parametrize("name", TESTED)
+def test_all_feeds(spark, sf, db, name):
+    sql = registry.oracle_sql()[name]
+    assert "where feed = 'official'" in sql
+    for part, whole in TESTED[name].items():
+        sql = sql.replace(part, whole)
+    df = registry.queries()[f"{name}_whole"](spark, sf)
+    columns, want = told(db, sql)
+    assert sorted(df.columns) == columns and rows(df) == want
+
+
+def test_the_hot_symbol_comes_out(spark, sf, db):
+    q = registry.queries()
+    series = {r[0] for r in db.execute("select distinct feed from market_bars where upper(trim(symbol)) = 'MKTX'").fetchall()}
+    assert series and "official" not in series
+    for name in ("master_dedup_whole", "company_summary_whole", "context_asof_join_whole"):
+        assert {r["feed"] for r in q[name](spark, sf).where("symbol = 'MKTX'").select("feed").distinct().collect()} == series
+    assert {r["feed"] for r in q["market_breadth_whole"](spark, sf).collect()} >= series
+    assert q["registry_outer_merge_whole"](spark, sf).where("symbol = 'MKTX' and trading_days > 0").count() == 1
+
+
+def test_breadth_of_each_feed(spark, sf, db):
+    day = "day as (select feed, upper(trim(symbol)) as symbol, date, change, volume from market_bars qualify row_number() over (partition by feed, upper(trim(symbol)), date order by ingested_at desc, bar_id desc) = 1), usable as (select * from day where symbol is not null and date is not null and change is not null and volume is not null)"
+    counts = "count(*) as universe_size, count(*) filter (where change > 0) as advancing, count(*) filter (where change < 0) as declining, count(*) filter (where change = 0) as unchanged, sum(greatest(volume, 0))::double as total_volume"
+    shown = ["feed", "reference_date", "universe_size", "advancing", "declining", "unchanged", "total_volume"]
+    q = registry.queries()
+    assert rows(q["market_breadth_by_date_whole"](spark, sf).select(*shown)) == told(db, f"with {day} select feed, date as reference_date, {counts} from usable group by 1, 2")[1]
+    latest = f"with {day}, last as (select feed, max(date) as latest from usable group by 1) select u.feed, max(date) as reference_date, {counts} from usable u join last l on u.feed = l.feed and u.date = l.latest RESTRICT group by 1"
+    assert rows(q["market_breadth_whole"](spark, sf).select(*shown)) == told(db, latest.replace("RESTRICT", ""))[1]
+    assert rows(q["breadth_restricted_whole"](spark, sf)) == told(db, latest.replace("RESTRICT", "where symbol in (select upper(trim(symbol)) from registry_updates where security_type = 'ordinary_equity')"))[1]
+    health = {r["feed"]: r for r in q["market_health_whole"](spark, sf).collect()}
+    assert set(health) == {r["feed"] for r in q["market_breadth_whole"](spark, sf).collect()}
+    old = q["market_health"](spark, sf).first()
+    assert all(health["official"][c] == old[c] for c in ("score", "label", "available_weight", "reference_date"))
+
+
+def test_summary_of_each_series(spark, sf, db):
+    q = registry.queries()
+    want = "with f as (select * replace (upper(trim(symbol)) as symbol) from market_bars where date is not null) select feed, symbol, min(date) as first_date, max(date) as last_date, count(distinct date) as trading_days, count(*) as rows, arg_max(close, (date, bar_id)) as latest_close from f group by 1, 2"
+    got = q["company_summary_whole"](spark, sf)
+    shown = ["feed", "symbol", "first_date", "last_date", "trading_days", "rows"]
+    assert rows(got.select(*shown)) == told(db, want.replace(", arg_max(close, (date, bar_id)) as latest_close", ""))[1]
+    last = "with f as (select * replace (upper(trim(symbol)) as symbol) from market_bars where date is not null) select feed, symbol, close as latest_close from f qualify row_number() over (partition by feed, symbol order by date desc, bar_id desc) = 1"
+    assert rows(got.select("feed", "symbol", "latest_close")) == told(db, last)[1]
