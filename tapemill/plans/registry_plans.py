@@ -35,11 +35,15 @@ _LIFE = "case when official_status = 'delisted' then 'officially_delisted' when
 FINAL = f"{REGISTRY}, final as (select *, {_LIFE} from merged)"
 
 
-def listings(spark: SparkSession, d: str) -> DataFrame:
-    """The last report of each symbol; symbols of six characters are left to history, to leave both sides unmatched."""
+def all_listings(spark: SparkSession, d: str) -> DataFrame:
+    """The last report of each symbol."""
     rows = table(spark, d, "registry_updates").withColumn("symbol", symbol_key("symbol"))
-    one = dedup.keep_last(rows, ["symbol"], ["received_at", "update_id"]).where(F.length("symbol") != 6)
-    return one.select("symbol", "company_name", reported("security_type").alias("security_type"), "sector", "board", "listing_segment", "officially_listed", reported("official_status").alias("official_status"), "source", F.lit("").alias("non_compliance_reason"), "shares")
+    return dedup.keep_last(rows, ["symbol"], ["received_at", "update_id"]).select("symbol", "company_name", reported("security_type").alias("security_type"), "sector", "board", "listing_segment", "officially_listed", reported("official_status").alias("official_status"), "source", F.lit("").alias("non_compliance_reason"), "shares")
+
+
+def listings(spark: SparkSession, d: str) -> DataFrame:
+    """Without symbols of six characters, which are left to history, to leave both sides unmatched."""
+    return all_listings(spark, d).where(F.length("symbol") != 6)
 
 
 def merged(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +52,10 @@ def merged(spark: SparkSession, d: str) -> DataFrame:
 
 def overrides(spark: SparkSession, d: str) -> DataFrame:
     """Overrides of some listed symbols, made from their share counts."""
-    some = listings(spark, d).where("shares % 7 = 0")
+    return overrides_of(listings(spark, d).where("shares % 7 = 0"))
+
+
+def overrides_of(some: DataFrame) -> DataFrame:
     text = lambda x: F.lit(x)
     return some.select("symbol", F.concat("company_name", text(" (renamed)")).alias("company_name_override"), F.when(F.col("shares") % 2 == 0, "suspended").alias("official_status_override"), text("").alias("previous_symbol"), text("NEXT").alias("successor_symbol"), text(None).cast("string").alias("corporate_action_type"), text("by  hand").alias("notes"))
 

@@ -19,7 +19,12 @@ SERIES = ["feed", "symbol", "date"]
 
 
 def merged(spark: SparkSession, d: str) -> DataFrame:
-    return registry.merge(registry_plans.listings(spark, d), registry.history_ranges(all_bars(spark, d)), registry_plans.REFERENCE)
+    return registry.merge(registry_plans.all_listings(spark, d), registry.history_ranges(all_bars(spark, d)), registry_plans.REFERENCE)
+
+
+def overrides(spark: SparkSession, d: str) -> DataFrame:
+    """An override of every listed symbol."""
+    return registry_plans.overrides_of(registry_plans.all_listings(spark, d))
 
 
 def master_dedup_whole(spark, d):
@@ -78,7 +83,12 @@ def activity_status_whole(spark, d):
 
 
 def override_merge_whole(spark, d):
-    return registry.override(merged(spark, d), registry_plans.overrides(spark, d), check=False).select("symbol", "company_name", "official_status", "successor_symbol", "notes", "source", "lifecycle_status")
+    return registry.override(merged(spark, d), overrides(spark, d), check=False).select("symbol", "company_name", "official_status", "successor_symbol", "notes", "source", "lifecycle_status")
+
+
+def unknown_overrides_anti_whole(spark, d):
+    """Overridden symbols that no feed ever traded."""
+    return registry.unknown_overrides(registry.history_ranges(all_bars(spark, d)), overrides(spark, d))
 
 
 def registry_counts_whole(spark, d):
@@ -132,6 +142,6 @@ def context_asof_join_whole(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     master_dedup_whole, duplicate_count_whole, conflict_report_whole, record_validation_whole, valid_counts_whole, quality_errors_whole, dataset_validation_whole, dataset_summary_whole, history_lengths_whole, history_ranges_whole,
-    registry_outer_merge_whole, lifecycle_status_whole, activity_status_whole, override_merge_whole, registry_counts_whole, registry_filter_whole, semi_restrict_whole, training_universe_whole, company_summary_whole,
+    registry_outer_merge_whole, lifecycle_status_whole, activity_status_whole, override_merge_whole, unknown_overrides_anti_whole, registry_counts_whole, registry_filter_whole, semi_restrict_whole, training_universe_whole, company_summary_whole,
     market_breadth_whole, breadth_restricted_whole, market_breadth_by_date_whole, market_health_whole, context_exact_join_whole, context_asof_join_whole,
 )}
