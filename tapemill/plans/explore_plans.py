@@ -158,11 +158,15 @@ def json_observations(spark, d):
 
 def html_cells(spark, d):
     """Market pages made from the official bars of the last days, parsed back."""
-    b = feed_bars(spark, d).where("date >= '2026-07-20'")
+    return parsed_pages(feed_bars(spark, d).where("date >= '2026-07-20'"), ["date", "load_id"])
+
+
+def parsed_pages(b, keys):
+    """Market pages made from the bars, one for each value of ``keys``, which hold the date, parsed back."""
     cell = lambda c, t: F.concat(F.lit('<td data-value="'), F.coalesce(F.col(c).cast(t).cast("string"), F.lit("")), F.lit('">x</td>'))
     row = F.concat(F.lit('<tr data-type="equity"><td>'), F.col("symbol"), F.lit("</td>"), *[cell(c, "decimal(18,4)") for c in parsers.EQUITY[1:-1]], cell("volume", "bigint"), F.lit("</tr>"))
-    pages = b.groupBy("date", "load_id").agg(F.concat(F.lit("<table><tr><th>x</th></tr>"), F.array_join(F.sort_array(F.collect_list(row)), ""), F.lit("</table>")).alias("html"))
-    got = parsers.equity_rows(pages.select(F.concat_ws("/", "date", "load_id").alias("page_id"), "date", "html"))
+    pages = b.groupBy(*keys).agg(F.concat(F.lit("<table><tr><th>x</th></tr>"), F.array_join(F.sort_array(F.collect_list(row)), ""), F.lit("</table>")).alias("html"))
+    got = parsers.equity_rows(pages.select(F.concat_ws("/", *keys).alias("page_id"), "date", "html"))
     return got.select("page_id", "date", "symbol", rounded("ldcp"), rounded("close"), "volume", "reason")
 
 

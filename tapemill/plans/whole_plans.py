@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapemill.operators import dedup, explore, indices, quality, registry
-from tapemill.plans import index_plans, registry_plans
+from tapemill.plans import explore_plans, index_plans, registry_plans
 from tapemill.plans.indicator_plans import rounded
 from tapemill.sources.tables import all_bars, index_series
 
@@ -140,8 +140,13 @@ def context_asof_join_whole(spark, d):
     return indices.join_context(_series_day(spark, d), indices.context(index_series(spark, d)), 3).select("feed", "symbol", "date", "context_date", rounded("kse100_value"), rounded("allshr_value"))
 
 
+def html_cells_whole(spark, d):
+    """Pages of all bars, one for each date, load and feed, parsed back."""
+    return explore_plans.parsed_pages(all_bars(spark, d), ["date", "load_id", "feed"])
+
+
 QUERIES = {f.__name__: f for f in (
     master_dedup_whole, duplicate_count_whole, conflict_report_whole, record_validation_whole, valid_counts_whole, quality_errors_whole, dataset_validation_whole, dataset_summary_whole, history_lengths_whole, history_ranges_whole,
     registry_outer_merge_whole, lifecycle_status_whole, activity_status_whole, override_merge_whole, unknown_overrides_anti_whole, registry_counts_whole, registry_filter_whole, semi_restrict_whole, training_universe_whole, company_summary_whole,
-    market_breadth_whole, breadth_restricted_whole, market_breadth_by_date_whole, market_health_whole, context_exact_join_whole, context_asof_join_whole,
+    market_breadth_whole, breadth_restricted_whole, market_breadth_by_date_whole, market_health_whole, context_exact_join_whole, context_asof_join_whole, html_cells_whole,
 )}

@@ -55,6 +55,16 @@ def test_all_feeds(spark, sf, db, name):
     assert sorted(df.columns) == columns and rows(df) == want
 
 
+def test_pages_of_all_bars(spark, sf, db):
+    part = "where feed = 'official' and date >= '2026-07-20'"
+    sql = registry.oracle_sql()["html_cells"]
+    assert part in sql
+    whole = sql.replace(part, "").replace("|| load_id as", "|| load_id || '/' || feed as")
+    got = registry.queries()["html_cells_whole"](spark, sf)
+    assert rows(got) == told(db, whole)[1]
+    assert got.count() == db.execute("select count(*) from market_bars").fetchone()[0]
+
+
 def test_the_hot_symbol_comes_out(spark, sf, db):
     q = registry.queries()
     series = {r[0] for r in db.execute("select distinct feed from market_bars where upper(trim(symbol)) = 'MKTX'").fetchall()}
