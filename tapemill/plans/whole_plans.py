@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapemill.operators import dedup, explore, indices, quality, registry
+from tapemill.operators import dedup, explore, indicators, indices, quality, registry
+from tapemill.operators.bars import in_force
 from tapemill.plans import explore_plans, index_plans, registry_plans
 from tapemill.plans.indicator_plans import rounded
-from tapemill.sources.tables import all_bars, index_series
+from tapemill.sources.tables import all_bars, index_series, table
 
 FEED = ("feed",)
 SERIES = ["feed", "symbol", "date"]
@@ -145,8 +146,23 @@ def html_cells_whole(spark, d):
     return explore_plans.parsed_pages(all_bars(spark, d), ["date", "load_id", "feed"])
 
 
+def series_bars(spark: SparkSession, d: str) -> DataFrame:
+    """The readings in force of the daily bars, each series (feed and symbol) as a symbol of its own."""
+    one = in_force(table(spark, d, "market_bars"), list(indicators.RAW))
+    return one.select(F.to_json(F.struct("feed", "symbol")).alias("symbol"), "date", *indicators.RAW)
+
+
+def features_full_whole(spark, d):
+    """The indicators of every series; its symbol is the JSON of feed and symbol."""
+    return indicators.calculate_features(series_bars(spark, d)).select("symbol", "date", *[rounded(c) for c in indicators.FEATURES], "is_warmup", "is_complete")
+
+
+def usable_rows_whole(spark, d):
+    return indicators.usable_rows(indicators.calculate_features(series_bars(spark, d))).select("symbol", "date", rounded("close"), rounded("macd_signal"), rounded("sma_50"))
+
+
 QUERIES = {f.__name__: f for f in (
     master_dedup_whole, duplicate_count_whole, conflict_report_whole, record_validation_whole, valid_counts_whole, quality_errors_whole, dataset_validation_whole, dataset_summary_whole, history_lengths_whole, history_ranges_whole,
     registry_outer_merge_whole, lifecycle_status_whole, activity_status_whole, override_merge_whole, unknown_overrides_anti_whole, registry_counts_whole, registry_filter_whole, semi_restrict_whole, training_universe_whole, company_summary_whole,
-    market_breadth_whole, breadth_restricted_whole, market_breadth_by_date_whole, market_health_whole, context_exact_join_whole, context_asof_join_whole, html_cells_whole,
+    market_breadth_whole, breadth_restricted_whole, market_breadth_by_date_whole, market_health_whole, context_exact_join_whole, context_asof_join_whole, html_cells_whole, features_full_whole, usable_rows_whole,
 )}
