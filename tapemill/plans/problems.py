@@ -32,6 +32,11 @@ def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible_readings(_t(spark, d, "market_bars"))
 
 
+def p2_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Readings within spikes of two or four days, which persist over the coarser levels."""
+    return spikes.wavelet_cases(_t(spark, d, "market_bars")).where("reason = 'spike' and width > 1").select("symbol", "feed", "date", "field", "width")
+
+
 def builds_as_known(builds: DataFrame, updates: DataFrame, observations: DataFrame) -> DataFrame:
     """Each build with what it recorded and ``known_*``, the values known at ``built_at``.
 
@@ -114,4 +119,4 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
     return p7_profile(spark, d).select("load_id", "column_name", "rows", "nulls", "distinct_values", "pattern_violations", F.round("mean", 4).alias("mean"), F.round("deviation", 2).alias("deviation"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_figures, p2_found, p2_reasons, p3_found, p3_known, p4_found, p4_history, p5_found, p5_grid, p6_found, p6_rows, p6_files, p7_found, p7_profile, p7_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_figures, p2_found, p2_reasons, p2_wide, p3_found, p3_known, p4_found, p4_history, p5_found, p5_grid, p6_found, p6_rows, p6_files, p7_found, p7_profile, p7_rates)}

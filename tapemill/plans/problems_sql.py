@@ -168,6 +168,30 @@ reasons as (
 select symbol, feed, date, field, ['impossible', 'spike', 'stuck'][min(k)] as reason from reasons group by symbol, feed, date, field
 """
 
+
+
+def _edges(field: str) -> str:
+    """The widest-first scan of spikes of one, two and four positive readings, by means of logarithms beside each other."""
+    h = (1, 2, 4)
+    mean = lambda frame, n: f"case when count(*) over ({frame}) = {n} then avg(ln({field})) over ({frame}) end"
+    by = "partition by symbol, feed order by date rows between"
+    diff = lambda n: f"{mean(f'{by} current row and {n - 1} following', n)} - {mean(f'{by} {n} preceding and 1 preceding', n)}"
+    level = lambda sign: [" and ".join(f"d{k} {'>' if sign > 0 else '<'} {sign * 10} * m{k}" for k in h if k <= n) for n in h]
+    ups, downs = level(1), level(-1)
+    edges = ", ".join(f"coalesce({u}, false) as u{n}, coalesce({v}, false) as v{n}" for n, u, v in zip(h, ups, downs, strict=True))
+    starts = ", ".join(f"(u{n} and coalesce(lead(v{n}, {n}) over w, false)) or (v{n} and coalesce(lead(u{n}, {n}) over w, false)) as s{n}" for n in h)
+    inside = " ".join(f"when {' or '.join(f'coalesce(lag(s{n}, {i}) over w, false)' for i in range(n))} then {n}" for n in h)
+    return f"""
+select symbol, feed, date, '{field}' as field, case {inside} end as width from (
+  select *, {starts} from (
+    select *, {edges} from (
+      select *, {', '.join(f'median(abs(d{n})) filter (where abs(d{n}) > 1e-9) over (partition by symbol, feed) as m{n}' for n in h)} from (
+        select symbol, feed, date, {', '.join(f'{diff(n)} as d{n}' for n in h)} from bars where {field} > 0)) window w as (partition by symbol, feed order by date)) window w as (partition by symbol, feed order by date))
+window w as (partition by symbol, feed order by date)"""
+
+
+P2_WIDE = f"with {_FORCE} select symbol, feed, date, field, width from ({_edges('close')} union all {_edges('volume')}) where width > 1"
+
 _LOADED = P6[: P6.rindex("select line_id, case when not ok")]
 _CONFORMS = P6[P6.rindex("where not (ok and n = 10") + len("where not (") : P6.rindex(")")]
 P6_ROWS = f"""{_LOADED} select line_id, source_file, line_no, f[1] as symbol, f[2]::date as date, g[3]::double as ldcp, g[4]::double as open, g[5]::double as high, g[6]::double as low, g[7]::double as close, g[8]::double as change,
@@ -190,6 +214,6 @@ select load_id, column_name, rows, nulls, distinct_values, pattern_violations, r
 """
 
 SQL = {
-    "p1_found": P1, "p1_figures": P1_FIGURES, "p2_found": P2, "p2_reasons": _REASONS, "p3_found": P3, "p3_known": P3_KNOWN, "p4_found": P4, "p4_history": P4_HISTORY, "p5_found": P5,
+    "p1_found": P1, "p1_figures": P1_FIGURES, "p2_found": P2, "p2_reasons": _REASONS, "p2_wide": P2_WIDE, "p3_found": P3, "p3_known": P3_KNOWN, "p4_found": P4, "p4_history": P4_HISTORY, "p5_found": P5,
     "p6_found": P6, "p6_rows": P6_ROWS, "p6_files": P6_FILES, "p7_found": P7, "p7_rates": P7_PROFILE,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own, and no query changes a session's settings."""
     settings = {
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": memory, "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.ui.showConsoleProgress": "false", "spark.driver.host": "127.0.0.1",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     spark = SparkSession.builder.master(f"local[{cores}]").appName("tapemill").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -18,8 +21,18 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Checkpointed into the shared folder the session names; into a temporary one only where none is named."""
+    """Checkpointed into the shared folder that ``spark.checkpoint.dir`` names.
+
+    Where none is named, executors of a cluster have no folder in common and RuntimeError is raised. A local session, whose
+    tasks all run on this machine, gets a folder of its own, removed at the end of the process.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="checkpoint")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return df.checkpoint()

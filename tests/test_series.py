@@ -11,7 +11,7 @@ import pytest
 from tapemill.operators.grid import local_linear, regular_grid
 from tapemill.operators.rolling import disagreeing_figures, trailing_figures
 from tapemill.operators.slabs import segment_median, slab_map
-from tapemill.operators.spikes import implausible_readings, implausible_rows
+from tapemill.operators.spikes import details, finest_details, implausible_readings, implausible_rows, wavelet_cases
 from tests.brute import cases, figures, in_force, key
 
 SCHEMA = "bar_id bigint, symbol string, feed string, date date, close double, volume bigint, change_percent double, ingested_at timestamp_ntz, day int, kind string"
@@ -98,6 +98,30 @@ def test_a_jump_to_a_new_level_is_no_spike(spark):
     assert {r["field"] for r in implausible_readings(make(spark, rows)).collect() if r["reason"] == "spike"} == set()
 
 
+def test_details_of_every_level_are_differences_of_means():
+    r = np.random.default_rng(4)
+    group = np.repeat([0, 1], [40, 25])
+    x = r.normal(size=65)
+    for k, d in enumerate(details(finest_details(x, group), group, 3)):
+        h = 1 << k
+        for i in range(65):
+            inside = group[max(0, i - h)] == group[min(64, i + h - 1)] and i - h >= 0 and i + h <= 65
+            assert np.isnan(d[i]) if not inside else abs(d[i] - (x[i : i + h].mean() - x[i - h : i].mean())) < 1e-12
+
+
+def test_wide_spikes_have_their_width(spark):
+    r = random.Random(9)
+    price, rows = 100.0, []
+    wide = {60: 1, 100: 2, 140: 4, 180: 8}
+    for i in range(260):
+        price *= 1 + r.gauss(0, 0.002)
+        high = any(a <= i < a + w for a, w in wide.items())
+        rows.append(bar(i, "AB", "x", i, price * (9 if high else 1), 1000 + r.randint(0, 300), 0.1 * r.random()))
+    got = {(c["date"] - D0).days: c["width"] for c in wavelet_cases(make(spark, rows)).collect() if c["field"] == "close" and c["reason"] == "spike"}
+    assert got == {60: 1, 100: 2, 101: 2, **{140 + i: 4 for i in range(4)}}
+    assert {(c["date"] - D0).days for c in implausible_readings(make(spark, rows)).collect() if c["field"] == "close"} == {60}
+
+
 def test_grid_fills_and_marks(spark):
     days = [0, 1, 2, 3, 6, 7, 8, 60, 61]
     rows = [bar(i, "AB", "x", d, 10.0 + d, 1) for i, d in enumerate(days)] + [bar(99, "AB", "x", 4, None, 1), bar(98, "AB", "x", 4, 77.0, 1, at=-5), bar(97, "AB", "x", 64, None, 1), bar(96, "AB", "x", None, 5.0, 1)]
