@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapemill.functions.text import finite
 from tapemill.operators.bars import arrival, in_force
-from tapemill.operators.slabs import group_ids, slab_map, values
+from tapemill.operators.slabs import compressed, group_ids, pieces, slab_map, values
 
 BANDWIDTH_DAYS = 10
 LEAST_SUPPORT = 2.0
@@ -49,27 +49,29 @@ def _grid(table: pa.Table, starts: np.ndarray, open_days: np.ndarray, bandwidth:
     n = table.num_rows
     gid = group_ids(starts, n)
     day, close = values(table, "day", int), values(table, "close")
-    ends = np.concatenate((starts[1:], [n])) - 1
-    first, span = day[starts], day[ends] - day[starts] + 1
-    base = np.concatenate(([0], np.cumsum(span + bandwidth)[:-1]))
-    size = int((span + bandwidth).sum())
-    y = np.full(size, np.nan)
-    y[base[gid] + day - first[gid]] = close
+    # In a gap of two bandwidths or more, what lies a bandwidth from either end has no reading near: one cell stands for it.
+    since, extent = compressed(starts, day, 2 * bandwidth)
+    base = np.concatenate(([0], np.cumsum(extent + bandwidth)[:-1]))
+    y = np.full(int((extent + bandwidth).sum()), np.nan)
+    y[base[gid] + since] = close
     fit, support = local_linear(y, y > 0, bandwidth)
 
-    low, high = np.searchsorted(open_days, first), np.searchsorted(open_days, day[ends], side="right")
-    many = high - low
-    group = np.repeat(np.arange(len(starts)), many)
-    grid = open_days[np.arange(len(group)) - np.repeat(np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.repeat(low, many)]
-    at = base[group] + grid - first[group]
-    seen = ~np.isnan(y[at])
-    filled = ~seen & (support[at] >= least)
-    status = pa.array(["missing", "filled", "observed"]).take(pa.array(filled + 2 * seen))
-    source = pa.array(starts[group])
-    yield pa.table({
-        "symbol": table.column("symbol").take(source), "feed": table.column("feed").take(source), "day": pa.array(grid.astype(np.int32)), "status": status,
-        "close": pa.array(np.where(seen, y[at], fit[at]), mask=~(seen | filled)), "support": pa.array(support[at]),
-    })
+    gap = np.append(np.where(gid[1:] == gid[:-1], np.diff(day), 1), 1)
+    low = np.searchsorted(open_days, day)
+    many = np.searchsorted(open_days, day + gap) - low
+    for row, number in pieces(many):
+        grid = open_days[low[row] + number]
+        offset, left = grid - day[row], gap[row] - (grid - day[row])
+        near = np.where(offset <= bandwidth, offset, np.maximum(bandwidth, np.minimum(gap[row], 2 * bandwidth) - left))
+        at = base[gid[row]] + since[row] + near
+        seen = ~np.isnan(y[at])
+        filled = ~seen & (support[at] >= least)
+        status = pa.array(["missing", "filled", "observed"]).take(pa.array(filled + 2 * seen))
+        source = pa.array(row)
+        yield pa.table({
+            "symbol": table.column("symbol").take(source), "feed": table.column("feed").take(source), "day": pa.array(grid.astype(np.int32)), "status": status,
+            "close": pa.array(np.where(seen, y[at], fit[at]), mask=~(seen | filled)), "support": pa.array(support[at]),
+        })
 
 
 def regular_grid(bars: DataFrame, calendar: DataFrame, bandwidth: int = BANDWIDTH_DAYS, least: float = LEAST_SUPPORT) -> DataFrame:
@@ -80,7 +82,8 @@ def regular_grid(bars: DataFrame, calendar: DataFrame, bandwidth: int = BANDWIDT
     local regression has at least ``least`` effective readings within ``bandwidth`` days. ``missing``: too few, close
     is null. Closes of 0 or less are given where observed but never fitted from. Rows without a date are left out, an
     empty calendar or table gives an empty grid. The calendar's open days, one per day by nature and checked against
-    ``MOST_DAYS``, travel with the task.
+    ``MOST_DAYS``, travel with the task. Long gaps are cut short and output days are made a piece at a time, so that a task
+    is bounded by rows whatever stray dates a series has.
     """
     days = [r[0] for r in calendar.where("is_open and date is not null").select(F.unix_date("date")).distinct().limit(MOST_DAYS + 1).collect()]
     if len(days) > MOST_DAYS:

@@ -17,14 +17,17 @@ from pyspark.sql import functions as F
 
 from tapemill.functions.text import finite, symbol_key
 from tapemill.operators.bars import in_force
-from tapemill.operators.slabs import group_ids, slab_map, values
+from tapemill.operators.slabs import compressed, group_ids, pieces, slab_map, values
 
 WINDOWS = (7, 20, 30)
 FIGURES = ("volume_total", "volume_ma", "sma", "rolling_volatility")
 
 
 class Blocks:
-    """The days of many series, each padded to whole blocks of ``n`` days with an empty block before."""
+    """The days of many series, each padded to whole blocks of ``n`` days with an empty block before.
+
+    Sums are kept and may be asked for at any days, as often as wanted.
+    """
 
     def __init__(self, n: int, span: np.ndarray):
         self.n = n
@@ -32,15 +35,17 @@ class Blocks:
         self.base = np.concatenate(([0], np.cumsum(length)[:-1])) + n
         self.size = int(length.sum())
 
-    def trailing(self, at: np.ndarray, x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Sum of ``x`` (placed at ``at``) over the ``n`` days that end at each ``wanted``."""
-        n = self.n
+    def sums(self, at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix and suffix sums within the blocks, of ``x`` placed at ``at``."""
         days = np.zeros(self.size, x.dtype)
         days[at] = x
-        block = days.reshape(-1, n)
-        prefix = np.cumsum(block, axis=1).ravel()
-        suffix = np.ascontiguousarray(np.cumsum(block[:, ::-1], axis=1)[:, ::-1]).ravel()
-        return prefix[wanted] + np.where(wanted % n == n - 1, 0, suffix[wanted - n + 1])
+        block = days.reshape(-1, self.n)
+        return np.cumsum(block, axis=1).ravel(), np.ascontiguousarray(np.cumsum(block[:, ::-1], axis=1)[:, ::-1]).ravel()
+
+    def trailing(self, sums: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> np.ndarray:
+        """The sum over the ``n`` days that end at each ``wanted``: one prefix and one suffix."""
+        prefix, suffix = sums
+        return prefix[wanted] + np.where(wanted % self.n == self.n - 1, 0, suffix[wanted - self.n + 1])
 
 
 def _schema(windows: tuple[int, ...]) -> str:
@@ -51,11 +56,10 @@ def _figures(table: pa.Table, starts: np.ndarray, windows: tuple[int, ...], dens
     n = table.num_rows
     gid = group_ids(starts, n)
     day = values(table, "day", int)
-    ends = np.concatenate((starts[1:], [n])) - 1
-    first, span = day[starts], day[ends] - day[starts] + 1
     close, volume = values(table, "close"), values(table, "volume", int)
     bar = values(table, "kind", int) == 0
-    since = day - first[gid]
+    longest = max(windows)
+    since, extent = compressed(starts, day, longest + 1)
 
     positive = np.flatnonzero(bar & (close > 0))
     same = gid[positive[1:]] == gid[positive[:-1]]
@@ -63,34 +67,29 @@ def _figures(table: pa.Table, starts: np.ndarray, windows: tuple[int, ...], dens
     change = close[later] / close[positive[:-1][same]] - 1
     known = np.flatnonzero(bar & ~np.isnan(close))
     bars = np.flatnonzero(bar)
-
-    if dense:
-        group = np.repeat(np.arange(len(starts)), span)
-        offset = np.arange(len(group)) - np.repeat(np.concatenate(([0], np.cumsum(span)[:-1])), span)
-        source = starts[group]
-    else:
-        source = np.flatnonzero(~bar)
-        group, offset = gid[source], since[source]
-    out = {"symbol": table.column("symbol").take(pa.array(source)), "feed": table.column("feed").take(pa.array(source)), "day": pa.array((first[group] + offset).astype(np.int32))}
+    one = np.ones(n, np.int64)
+    placed = {"volume": (bars, volume[bars]), "count": (known, one[known]), "close": (known, close[known]), "moves": (later, one[later]), "s1": (later, change), "s2": (later, change**2)}
+    blocks = {}
     for w in windows:
-        b = Blocks(w, span)
-        wanted = b.base[group] + offset
-        place = b.base[gid] + since
-
-        def total(rows: np.ndarray, x: np.ndarray, b=b, place=place, wanted=wanted) -> np.ndarray:
-            return b.trailing(place[rows], x, wanted)
-
-        sums = total(bars, volume[bars])
-        count, closes = total(known, np.ones(len(known), np.int64)), total(known, close[known])
-        moves, s1, s2 = total(later, np.ones(len(later), np.int64)), total(later, change), total(later, change**2)
-        with np.errstate(all="ignore"):
-            sma = closes / count
-            deviation = np.sqrt(np.maximum(0, (s2 - s1**2 / moves) / (moves - 1)))
-        out[f"volume_total_{w}"] = pa.array(sums)
-        out[f"volume_ma_{w}"] = pa.array(sums / w)
-        out[f"sma_{w}"] = pa.array(sma, mask=count == 0)
-        out[f"rolling_volatility_{w}"] = pa.array(deviation, mask=moves < 2)
-    yield pa.table(out)
+        b = Blocks(w, extent + longest)
+        blocks[w] = b, {k: b.sums(b.base[gid[rows]] + since[rows], x) for k, (rows, x) in placed.items()}
+
+    # A row stands for its own day and, if dense, for those up to the next row; an asked one for its own day only.
+    until = np.append(np.where(gid[1:] == gid[:-1], day[1:], day[:-1] + 1), day[-1:] + 1)
+    for row, offset in pieces(until - day if dense else (~bar).astype(np.int64)):
+        source = pa.array(row)
+        out = {"symbol": table.column("symbol").take(source), "feed": table.column("feed").take(source), "day": pa.array((day[row] + offset).astype(np.int32))}
+        place = since[row] + np.minimum(offset, longest)
+        for w, (b, kept) in blocks.items():
+            total = {k: b.trailing(x, b.base[gid[row]] + place) for k, x in kept.items()}
+            with np.errstate(all="ignore"):
+                sma = total["close"] / total["count"]
+                deviation = np.sqrt(np.maximum(0, (total["s2"] - total["s1"] ** 2 / total["moves"]) / (total["moves"] - 1)))
+            out[f"volume_total_{w}"] = pa.array(total["volume"])
+            out[f"volume_ma_{w}"] = pa.array(total["volume"] / w)
+            out[f"sma_{w}"] = pa.array(sma, mask=total["count"] == 0)
+            out[f"rolling_volatility_{w}"] = pa.array(deviation, mask=total["moves"] < 2)
+        yield pa.table(out)
 
 
 def trailing_figures(bars: DataFrame, windows: tuple[int, ...] = WINDOWS, at: DataFrame | None = None) -> DataFrame:
@@ -104,7 +103,8 @@ def trailing_figures(bars: DataFrame, windows: tuple[int, ...] = WINDOWS, at: Da
     bars. Bars without a date are left out; repeated rows count once; an empty table gives an empty result.
 
     One shuffle reduces versions by (series, day); the second brings a series, then at most a row per calendar day,
-    together. Dense days exist only inside a slab.
+    together. Gaps longer than the longest window are cut to it and output days are made a piece at a time, so that a task
+    is bounded by rows whatever stray dates a series has.
     """
     rows = in_force(bars, ["close", "volume"]).select("symbol", "feed", F.unix_date("date").alias("day"), F.lit(0).alias("kind"), F.col("close").cast("double").alias("close"), F.col("volume").cast("long").alias("volume"))
     if at is not None:

@@ -90,6 +90,29 @@ def group_ids(starts: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(ids)
 
 
+def compressed(starts: np.ndarray, day: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of each group, sorted by day, with gaps beyond ``longest`` cut to it; and each group's extent.
+
+    What happens within ``longest`` days of a row keeps its distances, and a slab's cells are bounded by its rows,
+    whatever stray dates its groups hold.
+    """
+    step = np.minimum(np.diff(day, prepend=day[:1]), longest)
+    step[starts] = 0
+    place = np.cumsum(step)
+    place -= np.repeat(place[starts], np.diff(np.append(starts, len(day))))
+    ends = np.append(starts[1:], len(day)) - 1
+    return place, place[ends] + 1
+
+
+def pieces(many: np.ndarray, limit: int = 4 * SLAB_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, number) of rows that each stand for ``many`` of them, numbered from 0, at most ``limit`` at a time."""
+    upto = np.cumsum(many)
+    for a in range(0, int(upto[-1]) if len(upto) else 0, limit):
+        at = np.arange(a, min(a + limit, int(upto[-1])))
+        row = np.searchsorted(upto, at, side="right")
+        yield row, at - (upto[row] - many[row])
+
+
 def segment_median(group: np.ndarray, x: np.ndarray, groups: int) -> np.ndarray:
     """Median of ``x`` by group (mean of the middle two); NaN for a group without values."""
     out = np.full(groups, np.nan)

@@ -134,6 +134,27 @@ def test_grid_fills_and_marks(spark):
     assert got[9]["status"] == "filled" and 15 < got[9]["close"] < 25
 
 
+FIRST, LAST = date(1, 1, 1), date(9999, 12, 31)
+
+
+def test_stray_dates_cost_no_more_than_rows(spark):
+    rows = [{**bar(i, f"S{i}", "x", 0, 5.0 + i, 10), "date": d} for i in range(400) for d in (FIRST, D0, D0 + timedelta(1), LAST)]
+    df = make(spark, rows)
+    at = spark.createDataFrame([(f"S{i}", "x", d) for i in range(400) for d in (FIRST, D0 + timedelta(1), D0 + timedelta(40), LAST)], "symbol string, feed string, date date")
+    got = {(r["symbol"], r["date"]): r["volume_total_7"] for r in trailing_figures(df, at=at).select("symbol", "date", "volume_total_7").collect()}
+    assert set(got.values()) == {10, 20, 0} and all(n == {FIRST: 10, LAST: 10, D0 + timedelta(1): 20}.get(d, 0) for (_, d), n in got.items())
+    calendar = spark.createDataFrame([(FIRST + timedelta(3), True), (D0 - timedelta(3), True), (D0, True), (D0 + timedelta(2), True), (D0 + timedelta(500), True), (LAST - timedelta(1), True), (LAST, True)], "date date, is_open boolean")
+    grid = regular_grid(df, calendar).where("symbol = 'S7'").collect()
+    assert [(r["status"], round(r["support"], 3) > 0) for r in sorted(grid, key=lambda r: r["date"])] == [("missing", True), ("missing", True), ("observed", True), ("missing", True), ("missing", False), ("missing", True), ("observed", True)]
+
+
+def test_every_day_of_a_long_life_comes_out(spark):
+    rows = [{**bar(i, "AB", "x", 0, 5.0, 10), "date": d} for i, d in enumerate((date(1700, 1, 1), date(1700, 1, 3), date(2025, 1, 1)))]
+    got = trailing_figures(make(spark, rows), (7,))
+    told = got.groupBy("volume_total_7").count().collect()
+    assert {r["volume_total_7"]: r["count"] for r in told} == {0: (date(2025, 1, 1) - date(1700, 1, 10)).days, 10: 2 + 2 + 1, 20: 5}
+
+
 def test_local_linear_reproduces_a_line():
     y = np.arange(50.0)
     known = np.ones(50, bool)
