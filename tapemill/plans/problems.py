@@ -84,11 +84,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_grid(spark: SparkSession, d: str) -> DataFrame:
     """One close or mark for every open day of every series' life."""
+    return _grid(spark, d).withColumns({c: F.round(c, 4) for c in ("close", "support")})
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.regular_grid(_t(spark, d, "market_bars"), _t(spark, d, "trading_calendar"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_grid(spark, d).where("status <> 'observed'").select("symbol", "feed", F.date_format("date", "yyyy-MM-dd").alias("bar_day"))
+    return _grid(spark, d).where("status <> 'observed'").select("symbol", "feed", F.date_format("date", "yyyy-MM-dd").alias("bar_day"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

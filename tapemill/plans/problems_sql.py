@@ -109,6 +109,20 @@ from lives l join trading_calendar c on c.is_open and c.date between l.a and l.z
 where not exists (select 1 from seen s where s.symbol = l.symbol and s.feed = l.feed and s.date = c.date)
 """
 
+P5_GRID = """
+with lives as (select upper(trim(symbol)) as symbol, feed, min(date) as a, max(date) as z from market_bars group by 1, 2),
+seen as (select upper(trim(symbol)) as symbol, feed, date, arg_max(close, ingested_at) as close from market_bars where close is not null group by 1, 2, 3),
+grid as (select l.symbol, l.feed, c.date from lives l join trading_calendar c on c.is_open and c.date between l.a and l.z),
+near as (
+  select g.symbol, g.feed, g.date, (s.date - g.date)::double as k, s.close as y, pow(1 - pow(abs(s.date - g.date) / 10.0::double, 3), 3) as w
+  from grid g join seen s on s.symbol = g.symbol and s.feed = g.feed and s.date between g.date - 9 and g.date + 9 where s.close > 0),
+sums as (select symbol, feed, date, sum(w) as s0, sum(w * k) as s1, sum(w * k * k) as s2, sum(w * y) as t0, sum(w * k * y) as t1, sum(w * w) as w2 from near group by 1, 2, 3),
+fits as (select symbol, feed, date, case when s0 * s2 - s1 * s1 > 1e-9 * s0 * s0 then (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) else t0 / s0 end as fit, s0 * s0 / w2 as support from sums)
+select symbol, feed, date, case when s.close is not null then 'observed' when coalesce(support, 0) >= 2 then 'filled' else 'missing' end as status,
+  round(case when s.close is not null then s.close when coalesce(support, 0) >= 2 then fit end, 4) as close, round(coalesce(support, 0), 4) as support
+from grid g left join fits using (symbol, feed, date) left join seen s using (symbol, feed, date)
+"""
+
 _RULES = {
     "high": ["high is null", "coalesce(high < greatest(open, close), false)", "coalesce(abs(high / nullif(close, 0)) > 1.5 or abs(high / nullif(close, 0)) < 1 / 1.5, false)", "coalesce(high = floor(high), false)"],
     "low": ["low is null", "coalesce(low > least(open, close), false)", "coalesce(abs(low / nullif(close, 0)) > 1.5 or abs(low / nullif(close, 0)) < 1 / 1.5, false)", "coalesce(low = floor(low), false)"],
@@ -214,6 +228,6 @@ select load_id, column_name, rows, nulls, distinct_values, pattern_violations, r
 """
 
 SQL = {
-    "p1_found": P1, "p1_figures": P1_FIGURES, "p2_found": P2, "p2_reasons": _REASONS, "p2_wide": P2_WIDE, "p3_found": P3, "p3_known": P3_KNOWN, "p4_found": P4, "p4_history": P4_HISTORY, "p5_found": P5,
+    "p1_found": P1, "p1_figures": P1_FIGURES, "p2_found": P2, "p2_reasons": _REASONS, "p2_wide": P2_WIDE, "p3_found": P3, "p3_known": P3_KNOWN, "p4_found": P4, "p4_history": P4_HISTORY, "p5_found": P5, "p5_grid": P5_GRID,
     "p6_found": P6, "p6_rows": P6_ROWS, "p6_files": P6_FILES, "p7_found": P7, "p7_rates": P7_PROFILE,
 }
