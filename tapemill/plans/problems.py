@@ -113,14 +113,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return profile.load_findings(_t(spark, d, "market_bars"), _t(spark, d, "market_loads"))
 
 
-def p7_profile(spark: SparkSession, d: str) -> DataFrame:
-    """The profile of each column of each load."""
+def _profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.column_profile(_t(spark, d, "market_bars"), _t(spark, d, "market_loads"))
 
 
+def p7_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The profile of each column of each load, rounded."""
+    digits = {"null_rate": 6, "mean": 4, "deviation": 2, "standardised_difference": 4, "usual_difference": 4}
+    return _profile(spark, d).withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
 def p7_rates(spark: SparkSession, d: str) -> DataFrame:
     """The profile's counts and moments, rounded."""
-    return p7_profile(spark, d).select("load_id", "column_name", "rows", "nulls", "distinct_values", "pattern_violations", F.round("mean", 4).alias("mean"), F.round("deviation", 2).alias("deviation"))
+    return _profile(spark, d).select("load_id", "column_name", "rows", "nulls", "distinct_values", "pattern_violations", F.round("mean", 4).alias("mean"), F.round("deviation", 2).alias("deviation"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_figures, p2_found, p2_reasons, p2_wide, p3_found, p3_known, p4_found, p4_history, p5_found, p5_grid, p6_found, p6_rows, p6_files, p7_found, p7_profile, p7_rates)}

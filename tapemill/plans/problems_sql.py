@@ -227,7 +227,29 @@ with sums as ({" union all ".join(_profile(c, _KINDS.get(c)) for c in ("bar_id",
 select load_id, column_name, rows, nulls, distinct_values, pattern_violations, round(s1 / nullif(n, 0), 4) as mean, case when n > 1 then round(sqrt(greatest(0, (s2 - s1 * s1 / n) / (n - 1))), 2) end as deviation from sums
 """
 
+
+
+def _whole_profile(column: str) -> str:
+    number = _KINDS.get(column)
+    shown = (lambda x: f"{x}::{number}::varchar") if number else (lambda x: f"{x}::varchar")
+    x = f"{column}::{number}" if number else "null::double"
+    pattern = {"symbol": "count(*) filter (where not regexp_matches(symbol, '^[A-Z0-9]+(-[A-Z]{3})?$'))", "feed": "count(*) filter (where not regexp_matches(feed, '^[a-z0-9_]+$'))"}.get(column, "0::bigint")
+    broken = f"count(*) filter (where {' or '.join(_RULES[column])})" if column in _RULES else "0::bigint"
+    return f"""select load_id, '{column}' as column_name, count(*) as rows, count(*) - count({column}) as nulls, count(distinct {column}) as distinct_values, {shown(f'min({column})')} as least, {shown(f'max({column})')} as greatest, {pattern} as pattern_violations, {broken} as rule_violations,
+      count({x}) as n, sum({x})::double as s1, sum(({x})::double * ({x})::double) as s2 from market_bars group by 1"""
+
+
+P7_WHOLE = f"""
+with sums as ({" union all ".join(_whole_profile(c) for c in ("bar_id", "symbol", "feed", "date", *_KINDS, "ingested_at"))}),
+told as (select s.*, loader, sum(n) over w - n as others_n, sum(s1) over w - coalesce(s1, 0) as o1, sum(s2) over w - coalesce(s2, 0) as o2 from sums s left join market_loads using (load_id) window w as (partition by loader, column_name)),
+spread as (select *, s1 / nullif(n, 0) as mean, o1 / nullif(others_n, 0) as others, greatest(0, s2 - s1 * s1 / nullif(n, 0)) as q, greatest(0, o2 - o1 * o1 / nullif(others_n, 0)) as oq from told),
+usual as (select *, median(mean) over w as um, median(q / nullif(n, 0)) over w as uv from spread window w as (partition by loader, column_name))
+select load_id, column_name, rows, nulls, round(nulls / rows, 6) as null_rate, distinct_values, least, greatest, pattern_violations, rule_violations, 0::bigint as unsummed, round(mean, 4) as mean, case when n > 1 then round(sqrt(q / (n - 1)), 2) end as deviation,
+  round((mean - others) / nullif(case when n > 1 and others_n > 1 then sqrt((q / (n - 1) + oq / (others_n - 1)) / 2) end, 0), 4) as standardised_difference, round((mean - um) / sqrt((q / nullif(n, 0) + uv) / 2), 4) as usual_difference
+from usual
+"""
+
 SQL = {
     "p1_found": P1, "p1_figures": P1_FIGURES, "p2_found": P2, "p2_reasons": _REASONS, "p2_wide": P2_WIDE, "p3_found": P3, "p3_known": P3_KNOWN, "p4_found": P4, "p4_history": P4_HISTORY, "p5_found": P5, "p5_grid": P5_GRID,
-    "p6_found": P6, "p6_rows": P6_ROWS, "p6_files": P6_FILES, "p7_found": P7, "p7_rates": P7_PROFILE,
+    "p6_found": P6, "p6_rows": P6_ROWS, "p6_files": P6_FILES, "p7_found": P7, "p7_profile": P7_WHOLE, "p7_rates": P7_PROFILE,
 }

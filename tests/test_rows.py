@@ -87,6 +87,17 @@ def test_findings(spark):
     assert got == {(3, "high"), (0, "duplicate_count"), (8, "duplicate_count")}
 
 
+def test_an_odd_load_does_not_hide_another(spark):
+    rows = []
+    for load, odd in ((0, 0), (1, 40), (2, 7), (3, 0), (4, 3)):
+        rows += [(load * 100 + i, "AB", "x", date(2025, 1, 1) if i < 1 else None, 10.0, 10.1, None if i < odd else 11.05, 9.05, 10.2, 0.1, 1.0, 100, load, T, 0) for i in range(40)]
+    loads = spark.createDataFrame([(i, "l", 38) for i in range(5)], "load_id bigint, loader string, duplicate_count bigint")
+    shifted = {(r["load_id"], r["column_name"]): round(r["excess"], 3) for r in profile.shifted_prices(spark.createDataFrame(rows, BARS), loads).collect()}
+    assert shifted == {(1, "high"): 0.925, (2, "high"): 0.1}
+    told = {r["load_id"]: r for r in profile.compared(profile.load_sums(spark.createDataFrame(rows, BARS), ()), loads).where("column_name = 'high' and variable = 'missing'").collect()}
+    assert told[1]["usual_difference"] > told[2]["usual_difference"] >= 0.2 > told[4]["usual_difference"] == 0.0 > told[0]["usual_difference"]
+
+
 def test_profile(spark):
     loads = spark.createDataFrame([(i, "l", 20) for i in range(5)], "load_id bigint, loader string, duplicate_count bigint")
     got = {(r["load_id"], r["column_name"]): r for r in profile.column_profile(bars(spark), loads).collect()}
