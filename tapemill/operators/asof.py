@@ -5,106 +5,172 @@ the values became known, copies the path from the root and leaves earlier roots
 at an event's time is the tree as it was known then. An event finds its root by time and then the greatest valid-time
 key it may use.
 
-An entity may hold a third of all rows, so its time line is cut into shards, each a task's matter of its own. What an
-earlier shard contributes to a later one is one row per attribute: the greatest key among values whose both times lie
-before the shard, found by a pre-aggregated maximum per (entity, shard) and a running maximum over those few rows.
+Trees are binary by the rank of their keys, so an insertion's copied path is known beforehand and all trees of a slab are
+built level by level in arrays: a new node points to the path's new node below and to the other side's latest one.
+
+An entity's rows come in time order and are taken a slab at a time. What earlier slabs, or earlier time shards of a large
+entity (see :mod:`shards`), contribute is one row per attribute: the greatest key among values usable by then.
 """
 
 from __future__ import annotations
 
-import random
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
+
+from tapemill.operators.shards import DAY, SHARD_ROWS, Shards
+from tapemill.operators.slabs import SLAB_ROWS, group_ids, group_starts, values
 
-DAY = 86_400_000_000
-SHARD_DAYS = 28
+__all__ = ["DAY", "PersistentTrees", "known_at"]
 _NEVER = -(2**62)
+#: Events without entity or time have no answer and are spread over so many groups.
+_LOST = 64
+
 
+class PersistentTrees:
+    """Search trees of many groups, each with a root after each of its insertions.
 
-class PersistentTree:
-    """A treap by key whose insertions copy the path; every earlier root stays valid."""
-
-    def __init__(self, seed: int = 7):
-        self._left, self._right, self._key, self._value, self._rank = [0], [0], [None], [None], [2.0]
-        self._random = random.Random(seed)
-        self._times: list = []
-        self._roots = [0]
-
-    def _copy(self, node: int, left: int, right: int) -> int:
-        return self._node(self._key[node], self._value[node], self._rank[node], left, right)
-
-    def _node(self, key, value, rank: float, left: int, right: int) -> int:
-        for column, x in ((self._left, left), (self._right, right), (self._key, key), (self._value, value), (self._rank, rank)):
-            column.append(x)
-        return len(self._key) - 1
-
-    def _split(self, node: int, key) -> tuple[int, int]:
-        """Copies of the parts with keys below ``key`` and above it; an equal key is left out."""
-        if not node:
-            return 0, 0
-        if self._key[node] == key:
-            return self._left[node], self._right[node]
-        if self._key[node] < key:
-            low, high = self._split(self._right[node], key)
-            return self._copy(node, self._left[node], low), high
-        low, high = self._split(self._left[node], key)
-        return low, self._copy(node, high, self._right[node])
-
-    def _insert(self, node: int, key, value, rank: float) -> int:
-        if not node or rank < self._rank[node]:
-            return self._node(key, value, rank, *self._split(node, key))
-        if key == self._key[node]:
-            return self._node(key, value, self._rank[node], self._left[node], self._right[node])
-        if key < self._key[node]:
-            return self._copy(node, self._insert(self._left[node], key, value, rank), self._right[node])
-        return self._copy(node, self._left[node], self._insert(self._right[node], key, value, rank))
-
-    def add(self, known: int, key: tuple, value) -> None:
-        """Insert; ``known`` must not fall."""
-        root = self._insert(self._roots[-1], key, value, self._random.random())
-        if self._times and self._times[-1] == known:
-            self._roots[-1] = root
-        else:
-            self._times.append(known)
-            self._roots.append(root)
-
-    def find(self, known: int, before: tuple | None):
-        """The value of the greatest key below ``before`` (of all keys if None) in the tree as known at ``known``."""
-        node, found = self._roots[bisect_right(self._times, known)], None
-        while node:
-            if before is None or self._key[node] < before:
-                found, node = self._value[node], self._right[node]
-            else:
-                node = self._left[node]
-        return found
-
-
-def _answers(batches: Iterator[pa.RecordBatch], attributes: list[str], bounded: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows come by (entity, shard), values before events, values by known time; only the shard's trees are held."""
-    here, trees = None, {}
+    ``group`` and ``leaf``, the key's rank within its group, are in order of insertion, groups one after the other. Node n of
+    a level is the one that insertion n made there; -1 is no node.
+    """
+
+    def __init__(self, group: np.ndarray, leaf: np.ndarray):
+        n = len(leaf)
+        self.levels = int(leaf.max(initial=0)).bit_length()
+        self._best = [leaf]
+        self._children: list[tuple[np.ndarray, np.ndarray]] = []
+        at = np.arange(n)
+        for level in range(self.levels):
+            side = (leaf >> level) & 1
+            # Insertions into the same parent, in order; the latest one into either side is what the node points to.
+            order = np.lexsort((at, leaf >> (level + 1), group))
+            first = np.ones(n, bool)
+            first[1:] = (group[order[1:]] != group[order[:-1]]) | (leaf[order[1:]] >> (level + 1) != leaf[order[:-1]] >> (level + 1))
+            start = np.maximum.accumulate(np.where(first, at, 0)) if n else at
+            child = []
+            for s in (0, 1):
+                latest = np.maximum.accumulate(np.where(side[order] == s, at, -1)) if n else at
+                node = np.full(n, -1)
+                some = latest >= start
+                node[order[some]] = order[latest[some]]
+                child.append(node)
+            left, right = child
+            self._children.append((left, right))
+            below = self._best[-1]
+            self._best.append(below[np.where(right >= 0, right, left)])
+
+    def find(self, root: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        """The greatest rank not above ``upto`` in the tree of each ``root`` (a number of insertion); -1 for none."""
+        node = np.where(upto >= 0, root, -1)
+        found = np.full(len(root), -1)
+        if not len(self._best[0]):
+            return found
+        upto = np.maximum(upto, 0)
+        beyond = upto >> self.levels > 0
+        upto = np.where(beyond, (1 << self.levels) - 1, upto)
+        for level in range(self.levels - 1, -1, -1):
+            left, right = self._children[level]
+            here = node >= 0
+            turn = here & ((upto >> level) & 1 == 1)
+            lower = np.where(turn, left[node], -1)
+            found = np.where(lower >= 0, self._best[level][lower], found)
+            node = np.where(here, np.where(turn, right[node], left[node]), -1)
+        return np.where(node >= 0, self._best[0][node], found)
+
+
+def _ordinal(text: pa.ChunkedArray) -> np.ndarray:
+    """The texts' places in order; nulls are -1."""
+    coded = text.combine_chunks().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    place = np.argsort(np.argsort(np.array(coded.dictionary.to_pylist(), object))) if len(coded.dictionary) else np.zeros(0, np.int64)
+    ids = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.where(ids >= 0, place[ids] if len(place) else -1, -1)
+
+
+def _latest(group: np.ndarray, order: np.ndarray, asked_group: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """For each asked (group, time) the number of rows, sorted by (group, time), that are not after it."""
+    times, code = np.unique(np.concatenate((order, asked)), return_inverse=True)
+    width = len(times) + 1
+    return np.searchsorted(group * width + code[: len(order)], asked_group * width + code[len(order) :], side="right")
+
+
+def _answer(table: pa.Table, starts: np.ndarray, names: list[str], bounded: bool) -> tuple[list[pa.ChunkedArray], list[int | None]]:
+    """The attributes' values for the events of whole groups, and the row of the last group's greatest key of each."""
+    gid = group_ids(starts, table.num_rows)
+    late = table.column("late").to_numpy().astype(bool)
+    known, valid, key = (values(table, c, int) for c in ("known", "valid", "key"))
+    events = np.flatnonzero(late)
+    group = gid[events]
+    out, greatest = [], []
+    for i in range(len(names)):
+        told = table.column(f"v{i}")
+        rank = _ordinal(told)
+        rows = np.flatnonzero(~late & (rank >= 0))
+        by_key = rows[np.lexsort((rank[rows], key[rows], known[rows], valid[rows], gid[rows]))]
+        leaf = np.zeros(table.num_rows, np.int64)
+        leaf[by_key] = np.arange(len(by_key)) - np.searchsorted(gid[by_key], gid[by_key])
+        inserted = rows[np.lexsort((leaf[rows], known[rows], gid[rows]))]
+        trees = PersistentTrees(gid[inserted], leaf[inserted])
+        base = np.searchsorted(gid[by_key], group)
+        root = _latest(gid[inserted], known[inserted], group, known[events]) - 1
+        root = np.where(root >= base, root, -1)
+        upto = (_latest(gid[by_key], valid[by_key], group, known[events]) if bounded else np.searchsorted(gid[by_key], group, side="right")) - 1 - base
+        found = trees.find(root, upto)
+        out.append(told.take(pa.array(np.append(by_key, 0)[np.where(found >= 0, base + found, -1)], mask=found < 0)))
+        last = np.flatnonzero(gid[by_key] == len(starts) - 1)
+        greatest.append(int(by_key[last[-1]]) if len(last) else None)
+    return out, greatest
+
+
+def _carried(table: pa.Table, greatest: list[int | None]) -> pa.Table:
+    """One row for each attribute that has a greatest key, with that attribute only."""
+    rows = [table.slice(0, 0)]
+    for i, r in enumerate(greatest):
+        if r is not None:
+            one = table.slice(r, 1)
+            for j in range(len(greatest)):
+                if j != i:
+                    at = one.schema.get_field_index(f"v{j}")
+                    one = one.set_column(at, one.schema.field(at), pa.nulls(1, one.schema.field(at).type))
+            rows.append(one)
+    return pa.concat_tables(rows)
+
+
+def _answers(batches: Iterator[pa.RecordBatch], names: list[str], bounded: bool, schema: pa.Schema, slab_rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows come by (entity, shard) in time order, reports before events; a slab and a row per attribute are held."""
+    held: list[pa.Table] = []
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        table = pa.concat_tables(held).combine_chunks()
+        found, greatest = _answer(table, group_starts(table, ["entity", "shard"]), names, bounded)
+        event = table.column("event").filter(table.column("late"))
+        for part in pa.Table.from_arrays([event, *found], names=["event", *names]).to_batches(max_chunksize=slab_rows):
+            columns = [*part.column("event").flatten(), *part.columns[1:]]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        # Of the open group only the greatest key of each attribute can still be an answer, besides what is yet to come.
+        held = [_carried(table, greatest)]
+
+    rows = 0
     for batch in batches:
-        rows = batch.to_pydict()
-        out: dict[str, list] = {"event": []} | {a: [] for a in attributes}
-        for entity, shard, event, number, known, valid, arrived, key, value in zip(*(rows[c] for c in ("entity", "shard", "event", "attribute", "known", "valid", "arrived", "key", "value")), strict=True):
-            if (entity, shard) != here:
-                here, trees = (entity, shard), [PersistentTree() for _ in attributes]
-            if event is None:
-                trees[number].add(known, (valid, arrived, key), value)
-            else:
-                out["event"].append(event)
-                before = (known + 1,) if bounded else None
-                for a, tree in zip(attributes, trees, strict=True):
-                    out[a].append(tree.find(known, before))
-        yield pa.RecordBatch.from_pydict(out, schema=schema)
+        held.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        if rows >= slab_rows:
+            yield from settle()
+            rows = 0
+    if rows:
+        yield from settle()
 
 
 def known_at(
     events: DataFrame,
-    event_id: str,
+    keep: str | list[str],
     event_entity: Column,
     event_time: Column,
     reports: DataFrame,
@@ -114,48 +180,47 @@ def known_at(
     tie: Column,
     attributes: dict[str, Column],
     bounded: bool = True,
-    shard_days: int = SHARD_DAYS,
+    shard_rows: int = SHARD_ROWS,
+    slab_rows: int = SLAB_ROWS,
 ) -> DataFrame:
-    """``event_id`` and, as text, the value of each attribute known at each event's time.
+    """Each event's columns ``keep`` and, as text, the value of each attribute known at its time.
 
     That is the reported (non-null) one with the latest valid time, then latest known time, then greatest ``tie``,
     among the entity's reports with known time and, if ``bounded``, valid time not after the event's; null if none.
-    Times are microseconds, ``tie`` a bigint. Reports without a time, and events without entity or time, have no part
-    (the event's attributes come out null). Event ids may repeat; each distinct id with its times is answered per row.
+    Times are microseconds, ``tie`` a bigint. Reports without entity or time, and events without, have no part (the
+    event's attributes come out null). Each event row is answered, repeated ones too. ``keep`` must not name an attribute.
+
+    One shuffle brings an entity's reports and events together. Where an entity holds more than ``shard_rows`` of them
+    its time line is cut; what each shard takes over from earlier ones are its attributes' greatest keys.
     """
-    names = list(attributes)
-    width = shard_days * DAY
-    asked = events.select(event_entity.alias("entity"), F.col(event_id).alias("event"), event_time.alias("known"))
-    lost = asked.where("entity is null or known is null").select("event", *[F.lit(None).cast("string").alias(a) for a in names])
-    asked = asked.where("entity is not null and known is not null").withColumn("shard", F.floor(F.col("known") / width))
-    told = reports.select(report_entity.alias("entity"), valid_time.alias("valid"), known_time.alias("known"), tie.cast("long").alias("key"), *[c.cast("string").alias(f"v{i}") for i, c in enumerate(attributes.values())])
-    told = told.where("entity is not null and valid is not null and known is not null").withColumn("shard", F.floor((F.greatest("valid", "known") if bounded else F.col("known")) / width))
-
-    # The best of each shard, and of all shards before it.
-    best = [F.max(F.when(F.col(f"v{i}").isNotNull(), F.struct("valid", "known", "key", F.col(f"v{i}").alias("value")))).alias(f"b{i}") for i in range(len(names))]
-    shards = told.groupBy("entity", "shard").agg(*best)
-    shards = shards.unionByName(asked.groupBy("entity", "shard").agg(*[F.max(F.lit(None).cast(shards.schema[f"b{i}"].dataType)).alias(f"b{i}") for i in range(len(names))]))
-    shards = shards.groupBy("entity", "shard").agg(*[F.max(f"b{i}").alias(f"b{i}") for i in range(len(names))])
-    past = Window.partitionBy("entity").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    carried = shards.select("entity", "shard", *[F.max(f"b{i}").over(past).alias(f"b{i}") for i in range(len(names))])
-
-    def value_rows(df: DataFrame, each: list[Column]) -> DataFrame:
-        """A row per attribute that has a value, all from one pass."""
-        rows = df.select("entity", "shard", F.inline(F.filter(F.array(*each), lambda x: x["value"].isNotNull())))
-        return rows.withColumn("event", F.lit(None).cast(events.schema[event_id].dataType))
-
-    def one(i: int, known: Column, of: Column | None) -> Column:
-        got = F.col if of is None else of.getField
-        fields = (F.lit(i).alias("attribute"), known.alias("known"), got("valid").alias("valid"), got("known").alias("arrived"), got("key").alias("key"))
-        return F.struct(*fields, (F.col(f"v{i}") if of is None else of["value"]).alias("value"))
-
-    reported = value_rows(told, [one(i, F.col("known"), None) for i in range(len(names))])
-    before = value_rows(carried, [one(i, F.lit(_NEVER), F.col(f"b{i}")) for i in range(len(names))])
-    nothing = {"attribute": "int", "valid": "bigint", "arrived": "bigint", "key": "bigint", "value": "string"}
-    rows = asked.select("entity", "shard", "event", "known", *[F.lit(None).cast(kind).alias(c) for c, kind in nothing.items()])
-    rows = rows.unionByName(reported).unionByName(before)
-    rows = rows.withColumn("late", F.col("event").isNotNull())
-    kind = events.schema[event_id].dataType.simpleString()
-    arrow = pa.schema([("event", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), *[(a, pa.string()) for a in names]])
-    answered = rows.repartition("entity", "shard").sortWithinPartitions("entity", "shard", "late", "known", "valid", "key").mapInArrow(lambda it: _answers(it, names, bounded, arrow), f"event {kind}, " + ", ".join(f"`{a}` string" for a in names))
-    return answered.unionByName(lost).withColumnRenamed("event", event_id)
+    names, keep = list(attributes), [keep] if isinstance(keep, str) else list(keep)
+    if clash := set(names) & set(keep):
+        raise ValueError(f"columns and attributes of one name: {sorted(clash)}")
+    asked = events.select(event_entity.cast("string").alias("entity"), event_time.alias("known"), F.struct(*keep).alias("event"))
+    lost = F.col("entity").isNull() | F.col("known").isNull()
+    told = reports.select(report_entity.cast("string").alias("entity"), valid_time.cast("long").alias("valid"), known_time.alias("known"), tie.cast("long").alias("key"), *[c.cast("string").alias(f"v{i}") for i, c in enumerate(attributes.values())])
+    # A report may be an answer from the later of its times on.
+    told = told.where("entity is not null and valid is not null and known is not null").withColumn("at", F.greatest("valid", "known") if bounded else F.col("known"))
+    asked = asked.withColumn("at", F.col("known"))
+    shards = Shards([told, asked.where(~lost)], shard_rows)
+    told = shards.of(told)
+
+    empty = {"valid": "bigint", "key": "bigint", **{f"v{i}": "string" for i in range(len(names))}}
+    questions = shards.of(asked).withColumns({**{c: F.lit(None).cast(kind) for c, kind in empty.items()}, "late": F.lit(True), "shard": F.when(lost, F.pmod(F.xxhash64("event"), F.lit(_LOST)).cast("int") - _LOST).otherwise(F.col("shard"))})
+    questions = questions.withColumns({"entity": F.when(~lost, F.col("entity")), **{c: F.coalesce(c, F.lit(_NEVER)) for c in ("known", "at")}})
+    no_event = F.lit(None).cast(asked.schema["event"].dataType)
+    order = ["entity", "shard", "at", "late", "known", "valid", "key", *[f"v{i}" for i in range(len(names))], "event"]
+    rows = questions.select(order).unionByName(told.withColumns({"late": F.lit(False), "event": no_event}).select(order))
+    if not shards.none:
+        best = [F.max(F.when(F.col(f"v{i}").isNotNull(), F.struct("valid", "known", "key", F.col(f"v{i}").alias("value")))).alias(f"b{i}") for i in range(len(names))]
+        each = shards.every().join(told.where("large").groupBy("entity", "shard").agg(*best), ["entity", "shard"], "left")
+        past = Window.partitionBy("entity").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        before = each.select("entity", "shard", *[F.max(f"b{i}").over(past).alias(f"b{i}") for i in range(len(names))])
+        for i in range(len(names)):
+            b = F.col(f"b{i}")
+            of = {"entity": F.col("entity"), "shard": F.col("shard"), "at": F.lit(_NEVER), "late": F.lit(False), "known": b["known"], "valid": b["valid"], "key": b["key"], **{f"v{j}": b["value"] if i == j else F.lit(None).cast("string") for j in range(len(names))}, "event": no_event}
+            rows = rows.unionByName(before.where(b.isNotNull()).select(*[c.alias(k) for k, c in of.items()]))
+    schema = StructType([*asked.schema["event"].dataType.fields, *[StructField(a, StringType()) for a in names]])
+    arrow = to_arrow_schema(schema, prefers_large_types=False)
+    placed = rows.repartition("entity", "shard").sortWithinPartitions("entity", "shard", "at", "late")
+    return placed.mapInArrow(lambda it: _answers(it, names, bounded, arrow, slab_rows), schema)

@@ -42,20 +42,18 @@ def builds_as_known(builds: DataFrame, updates: DataFrame, observations: DataFra
 
     ``build_id`` is unique. Attribute texts are in comparable form.
     """
-    when = zoneless_micros("built_at")
+    own = ["build_id", "market_context_included", "context_index_code", "context_value", "security_type", "officially_listed", "built_at"]
+    told = builds.withColumns({"security_type": reported("security_type"), "built_at": zoneless_micros("built_at")})
     attributes = {"known_security_type": reported("security_type"), "known_officially_listed": F.col("officially_listed")}
     of_symbol = asof.known_at(
-        builds, "build_id", symbol_key("symbol"), when, updates, symbol_key("symbol"), history.iso_micros("registry_updated_at"), zoneless_micros("received_at"), F.col("update_id"), attributes
+        told, own, symbol_key("symbol"), F.col("built_at"), updates, symbol_key("symbol"), history.iso_micros("registry_updated_at"), zoneless_micros("received_at"), F.col("update_id"), attributes
     )
-    index = {"known_context": finite("value")}
-    code = F.upper(F.trim("context_index_code"))
+    # Builds without context have no index to ask of.
+    code = F.when(F.col("market_context_included"), F.upper(F.trim("context_index_code")))
     of_index = asof.known_at(
-        builds.where("market_context_included"), "build_id", code, when, observations, F.upper(F.trim("index_code")), F.unix_date("date").cast("long"), zoneless_micros("fetched_at"), F.col("timestamp"), index, bounded=False
+        of_symbol, [*own, *attributes], code, F.col("built_at"), observations, F.upper(F.trim("index_code")), F.unix_date("date").cast("long"), zoneless_micros("fetched_at"), F.col("timestamp"), {"known_context": finite("value")}, bounded=False
     )
-    told = builds.select("build_id", "symbol", "built_at", "market_context_included", "context_index_code", "context_value", reported("security_type").alias("security_type"), "officially_listed")
-    known = of_symbol.withColumnRenamed("build_id", "k_build").withColumn("known_officially_listed", F.col("known_officially_listed").cast("boolean"))
-    context = of_index.select(F.col("build_id").alias("i_build"), F.col("known_context").cast("double").alias("known_context"))
-    return told.join(known, F.col("build_id") == F.col("k_build")).join(context, F.col("build_id") == F.col("i_build"), "left").drop("k_build", "i_build")
+    return of_index.withColumns({"known_officially_listed": F.col("known_officially_listed").cast("boolean"), "known_context": F.col("known_context").cast("double")})
 
 
 def p3_known(spark: SparkSession, d: str) -> DataFrame:

@@ -5,24 +5,27 @@ from __future__ import annotations
 import random
 from datetime import date
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tapemill.operators.asof import DAY, PersistentTree, known_at
+from tapemill.operators.asof import DAY, PersistentTrees, known_at
 from tapemill.operators.history import difference_snapshots, history_from_snapshots, status_history
+from tapemill.operators.shards import Shards
 
 
-def test_every_root_of_a_persistent_tree_stays():
+def test_every_root_of_persistent_trees_stays():
     r = random.Random(5)
-    tree, history = PersistentTree(), []
-    for known in range(300):
-        k = (r.randint(0, 60), r.randint(0, 3))
-        tree.add(known // 2, k, (k, known))
-        history.append((known // 2, k, (k, known)))
-    for _ in range(500):
-        known, before = r.randint(-1, 160), r.choice([None, (r.randint(-1, 62),)])
-        seen = {k: v for t, k, v in history if t <= known}
-        best = max((k for k in seen if before is None or k < before), default=None)
-        assert tree.find(known, before) == (None if best is None else seen[best])
+    for groups, most in ((1, 1), (3, 70), (5, 16)):
+        group = np.repeat(np.arange(groups), [r.randint(1, most) for _ in range(groups)])
+        leaf = np.concatenate([r.sample(range(n), n) for n in np.bincount(group)])
+        trees = PersistentTrees(group, leaf)
+        first = np.searchsorted(group, group)
+        root = np.array([r.randint(-1, len(leaf) - 1) for _ in range(800)])
+        upto = np.array([r.randint(-1, 80) for _ in range(800)])
+        for t, u, got in zip(root, upto, trees.find(root, upto), strict=True):
+            seen = leaf[first[t] : t + 1] if t >= 0 else leaf[:0]
+            assert got == max(seen[seen <= u], default=-1)
 
 
 def brute(events, reports, attribute, bounded=True):
@@ -41,12 +44,31 @@ def test_known_at_equals_brute_force(spark):
     events = [(i, r.choice([*names, "D"]), r.choice([day(), day(), day(), None])) for i in range(300)]
     e = spark.createDataFrame(events, "id bigint, who string, t bigint").withColumn("known", F.lit("clash"))
     p = spark.createDataFrame(reports, "who string, valid bigint, known bigint, tie bigint, a string, b string").withColumn("shard", F.lit("clash"))
-    for bounded in (True, False):
-        got = known_at(e, "id", F.col("who"), F.col("t"), p, F.col("who"), F.col("valid"), F.col("known"), F.col("tie"), {"a": F.col("a"), "b": F.col("b")}, bounded, shard_days=20).collect()
+    for bounded, shard_rows, slab_rows in ((True, 20, 7), (False, 20, 7), (True, 10**6, 50), (False, 10**6, 10**6)):
+        got = known_at(e, "id", F.col("who"), F.col("t"), p, F.col("who"), F.col("valid"), F.col("known"), F.col("tie"), {"a": F.col("a"), "b": F.col("b")}, bounded, shard_rows, slab_rows).collect()
         assert {g["id"]: g["a"] for g in got} == brute(events, reports, 0, bounded) and {g["id"]: g["b"] for g in got} == brute(events, reports, 1, bounded)
         assert len(got) == len(events)
 
 
+def test_an_entity_with_half_of_the_rows_on_one_day(spark):
+    r = random.Random(12)
+    time = lambda hot: 50 * DAY + r.randint(0, DAY - 1) if hot else r.randint(0, 400) * DAY
+    reports = [("HOT" if hot else f"E{i % 40}", time(hot) - r.choice([0, 0, 3 * DAY]), time(hot), i, r.choice(["x", "y", None])) for i in range(2000) for hot in (i % 2 == 0,)]
+    events = [(i, "HOT" if i % 2 else f"E{i % 40}", time(i % 2)) for i in range(600)]
+    e, p = spark.createDataFrame(events, "id bigint, who string, t bigint"), spark.createDataFrame(reports, "who string, valid bigint, known bigint, tie bigint, a string")
+    ask = lambda rows: known_at(e, ["id", "who"], F.col("who"), F.col("t"), p, F.col("who"), F.col("valid"), F.col("known"), F.col("tie"), {"a": F.col("a")}, shard_rows=rows)
+    assert {g["id"]: g["a"] for g in ask(100).collect()} == brute(events, reports, 0)
+    told = [Shards([p.select(F.col("who").alias("entity"), F.col("known").alias("at"))], rows) for rows in (100, 10**6)]
+    sizes = told[0].of(p.select(F.col("who").alias("entity"), F.col("known").alias("at"))).groupBy("entity", "shard").count().collect()
+    assert sum(s["entity"] == "HOT" for s in sizes) >= 10 and max(s["count"] for s in sizes) <= 200 and told[1].none
+
+
+def test_names_that_clash_are_refused(spark):
+    e = spark.createDataFrame([(1, "A", 5)], "id bigint, a string, t bigint")
+    with pytest.raises(ValueError, match="one name"):
+        known_at(e, ["id", "a"], F.col("a"), F.col("t"), e, F.col("a"), F.col("t"), F.col("t"), F.col("t"), {"a": F.col("a")})
+
+
 def test_known_at_of_empty_tables(spark):
     e = spark.createDataFrame([(1, "A", 5)], "id bigint, who string, t bigint")
     p = spark.createDataFrame([], "who string, valid bigint, known bigint, tie bigint, a string")
