@@ -1,9 +1,9 @@
 """Histories of changing attributes by differencing consecutive snapshots.
 
 Snapshot n of an entity and snapshot n - 1 meet in a null-safe full outer join, which classifies each as inserted,
-changed or deleted; the union of the change events gets its validity by lead. Windows never run over a whole entity:
-they run over (entity, time shard), and what crosses a shard's border (running number, last reported value, next
-event) is carried by one row per shard.
+changed or deleted; the union of the change events gets its validity by lead. Of an entity with very many updates (see
+:mod:`shards`) no window sees the whole: they run over (entity, time shard), and what crosses a shard's border (running
+number, last reported value, next event) is carried by one row per shard.
 """
 
 from __future__ import annotations
@@ -12,38 +12,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapemill.functions.text import iso_micros, reported, symbol_key, zoneless_micros
+from tapemill.operators.shards import SHARD_ROWS, Shards
 
-SHARD_SECONDS = 28 * 86_400
 
+def states_from_updates(updates: DataFrame, attributes: dict[str, Column], key: Column, instant: Column, received: Column, tie: str, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, Shards]:
+    """(entity, n, at, shard, attributes...): the state of each key after each of its instants, numbered from 1; and its shards.
 
-def states_from_updates(updates: DataFrame, attributes: dict[str, Column], key: Column, instant: Column, received: Column, tie: str, shard_seconds: int = SHARD_SECONDS) -> DataFrame:
-    """(key, n, valid_from, attributes...): the state of each key after each of its instants, numbered from 1.
-
-    Of updates of a key at one instant only the one received last counts (then the greatest ``tie``). A null attribute
-    keeps the earlier value. Updates without key or instant are left out. ``instant`` is in microseconds.
+    Of updates of a key at one instant only the one received last counts (then the greatest ``tie``, then the greatest
+    attributes). A null attribute keeps the earlier value. Updates without key or instant are left out. ``instant`` is in
+    microseconds. One shuffle and one sort serve all windows.
     """
     names = list(attributes)
-    rows = updates.select(key.alias("key"), instant.alias("valid_from"), received.alias("received"), F.col(tie).alias("tie"), *[c.alias(a) for a, c in attributes.items()]).where("key is not null and valid_from is not null")
-    last = F.max(F.struct(F.col("received"), F.col("tie"), *names)).alias("last")
-    instants = rows.groupBy("key", "valid_from").agg(last).select("key", "valid_from", *[F.col(f"last.{a}").alias(a) for a in names]).withColumn("shard", F.floor(F.col("valid_from") / (shard_seconds * 1_000_000)))
-
-    shards = instants.groupBy("key", "shard").agg(F.count("*").alias("many"), *[F.max(F.when(F.col(a).isNotNull(), F.struct(F.col("valid_from").alias("t"), F.col(a).alias("v")))).alias(f"l_{a}") for a in names])
-    before = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    carried = shards.select(F.col("key").alias("c_key"), F.col("shard").alias("c_shard"), F.coalesce(F.sum("many").over(before), F.lit(0)).alias("earlier"), *[F.max(f"l_{a}").over(before)["v"].alias(f"c_{a}") for a in names])
-    inside = Window.partitionBy("key", "shard").orderBy("valid_from")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = instants.withColumns({"number": F.row_number().over(inside), **{a: F.last(a, ignorenulls=True).over(upto) for a in names}})
-    joined = numbered.join(carried, (F.col("key") == F.col("c_key")) & (F.col("shard") == F.col("c_shard")))
-    return joined.select("key", (F.col("earlier") + F.col("number")).alias("n"), "valid_from", "shard", *[F.coalesce(a, f"c_{a}").alias(a) for a in names])
-
-
-def difference_snapshots(now: DataFrame, before: DataFrame, keys: list[str], attributes: list[str]) -> DataFrame:
+    rows = updates.select(key.alias("entity"), instant.alias("at"), received.alias("received"), F.col(tie).alias("tie"), *[c.alias(a) for a, c in attributes.items()]).where("entity is not null and at is not null")
+    shards = Shards([rows], shard_rows)
+    line = Window.partitionBy("entity", "shard").orderBy("at", "received", "tie", *names)
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    last = shards.of(rows).withColumn("following", F.lead("at").over(line)).where("following is null or following <> at")
+    states = last.withColumns({"n": F.row_number().over(line).cast("long"), **{a: F.last(a, ignorenulls=True).over(upto) for a in names}})
+    if not shards.none:
+        ends = states.where("large").groupBy("entity", "shard").agg(F.max("n").alias("many"), F.max_by(F.struct(*names), "at").alias("end"))
+        before = Window.partitionBy("entity").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        each = shards.every().join(ends, ["entity", "shard"], "left")
+        carried = each.select(F.col("entity").alias("c_entity"), F.col("shard").alias("c_shard"), F.coalesce(F.sum("many").over(before), F.lit(0)).alias("earlier"), *[F.last(F.col("end")[a], ignorenulls=True).over(before).alias(f"c_{a}") for a in names])
+        states = states.join(carried, (F.col("entity") == F.col("c_entity")) & (F.col("shard") == F.col("c_shard")), "left")
+        states = states.withColumns({"n": F.col("n") + F.coalesce("earlier", F.lit(0)), **{a: F.coalesce(a, f"c_{a}") for a in names}})
+    return states.select("entity", "n", "at", "shard", "large", *names), shards
+
+
+def difference_snapshots(now: DataFrame, before: DataFrame, keys: list[str], attributes: list[str], carried: tuple[str, ...] = ()) -> DataFrame:
     """``keys``, ``change`` (inserted, changed, deleted) and the attributes after (``a``) and before (``old_a``).
 
+    ``carried`` columns of ``now`` come along and are not compared.
+
     A null-safe full outer join; unchanged keys do not come out. A deleted key has null attributes after. Keys must be
     unique in either snapshot.
     """
-    left = now.select(*[F.col(k).alias(f"n_{k}") for k in keys], *[F.col(a) for a in attributes], F.lit(True).alias("is_now"))
+    left = now.select(*[F.col(k).alias(f"n_{k}") for k in keys], *attributes, *carried, F.lit(True).alias("is_now"))
     right = before.select(*[F.col(k).alias(f"b_{k}") for k in keys], *[F.col(a).alias(f"old_{a}") for a in attributes], F.lit(True).alias("was"))
     on = F.lit(True)
     same = F.lit(True)
@@ -53,28 +57,21 @@ def difference_snapshots(now: DataFrame, before: DataFrame, keys: list[str], att
         same &= F.col(a).eqNullSafe(F.col(f"old_{a}"))
     change = F.when(F.col("was").isNull(), "inserted").when(F.col("is_now").isNull(), "deleted").when(~same, "changed")
     joined = left.join(right, on, "full_outer")
-    return joined.select(*[F.when(F.col("is_now"), F.col(f"n_{k}")).otherwise(F.col(f"b_{k}")).alias(k) for k in keys], change.alias("change"), *attributes, *[f"old_{a}" for a in attributes]).where("change is not null")
-
-
-def _with_ends(events: DataFrame, shard: Column) -> DataFrame:
-    """Adds valid_to: the start of the key's next event, null for the last; over shards, see the module."""
-    rows = events.withColumn("shard", shard)
-    firsts = rows.groupBy("key", "shard").agg(F.min("valid_from").alias("first"))
-    after = Window.partitionBy("key").orderBy(F.col("shard").desc()).rowsBetween(-1, -1)
-    following = firsts.select(F.col("key").alias("f_key"), F.col("shard").alias("f_shard"), F.max("first").over(after).alias("following"))
-    inside = Window.partitionBy("key", "shard").orderBy("valid_from")
-    led = rows.withColumn("next", F.lead("valid_from").over(inside))
-    return led.join(following, F.col("key").eqNullSafe(F.col("f_key")) & (F.col("shard") == F.col("f_shard"))).withColumn("valid_to", F.coalesce("next", "following")).drop("f_key", "f_shard", "following", "next", "shard")
+    return joined.select(*[F.when(F.col("is_now"), F.col(f"n_{k}")).otherwise(F.col(f"b_{k}")).alias(k) for k in keys], change.alias("change"), *carried, *attributes, *[f"old_{a}" for a in attributes]).where("change is not null")
 
 
-def history_from_states(states: DataFrame, attributes: list[str], shard_seconds: int = SHARD_SECONDS) -> DataFrame:
-    """(key, valid_from, valid_to, change, attributes..., old...) of numbered states, see :func:`states_from_updates`."""
-    shifted = states.withColumn("n", F.col("n") + 1)
-    changes = difference_snapshots(states.select("key", "n", "valid_from", *attributes), shifted.select("key", "n", F.col("valid_from"), *attributes), ["key", "n"], attributes)
+def history_from_states(states: DataFrame, shards: Shards, attributes: list[str]) -> DataFrame:
+    """(entity, valid_from, valid_to, change, attributes..., old...) of numbered states, see :func:`states_from_updates`."""
+    earlier = states.select("entity", (F.col("n") + 1).alias("n"), *attributes)
+    changes = difference_snapshots(states, earlier, ["entity", "n"], attributes, ("at", "shard", "large"))
     # A key without a later state was not deleted: updates report, they do not list what exists.
-    starts = states.select(F.col("key").alias("s_key"), F.col("n").alias("s_n"), "valid_from")
-    kept = changes.where("change <> 'deleted'").join(starts, (F.col("key") == F.col("s_key")) & (F.col("n") == F.col("s_n"))).drop("s_key", "s_n", "n")
-    return _with_ends(kept, F.floor(F.col("valid_from") / (shard_seconds * 1_000_000)))
+    events = changes.where("change <> 'deleted'").withColumn("valid_to", F.lead("at").over(Window.partitionBy("entity", "shard").orderBy("at")))
+    if not shards.none:
+        firsts = shards.every().join(events.where("large").groupBy("entity", "shard").agg(F.min("at").alias("first")), ["entity", "shard"], "left")
+        after = Window.partitionBy("entity").orderBy("shard").rowsBetween(1, Window.unboundedFollowing)
+        following = firsts.select(F.col("entity").alias("f_entity"), F.col("shard").alias("f_shard"), F.min("first").over(after).alias("following"))
+        events = events.join(following, (F.col("entity") == F.col("f_entity")) & (F.col("shard") == F.col("f_shard")), "left").withColumn("valid_to", F.coalesce("valid_to", "following"))
+    return events.select("entity", F.col("at").alias("valid_from"), "valid_to", "change", *attributes, *[f"old_{a}" for a in attributes])
 
 
 def history_from_snapshots(snapshots: DataFrame, key: str, period: str, attributes: list[str]) -> DataFrame:
@@ -90,11 +87,12 @@ def history_from_snapshots(snapshots: DataFrame, key: str, period: str, attribut
     following = periods.select(F.col("period").alias("p"), F.lead("period").over(order).alias("next_period"))
     shifted = rows.join(following, F.col("period") == F.col("p")).where("next_period is not null").select("key", F.col("next_period").alias("period"), *attributes)
     changes = difference_snapshots(rows, shifted, ["key", "period"], attributes).withColumnRenamed("period", "valid_from")
-    ended = _with_ends(changes, F.trunc("valid_from", "year"))
+    # A key has at most one event per snapshot.
+    ended = changes.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("key").orderBy("valid_from")))
     return ended.where("change <> 'deleted'").withColumnRenamed("key", key)
 
 
-def status_history(updates: DataFrame) -> DataFrame:
+def status_history(updates: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The history of (official_status, lifecycle_status) of each symbol of the registry's updates.
 
     symbol (key form), valid_from, valid_to (microseconds since 1970, null while in force), change, the pair in
@@ -102,5 +100,5 @@ def status_history(updates: DataFrame) -> DataFrame:
     are left out, null and blank attributes keep the earlier value, repeated reports change nothing.
     """
     pair = ["official_status", "lifecycle_status"]
-    states = states_from_updates(updates, {a: reported(a) for a in pair}, symbol_key("symbol"), iso_micros("registry_updated_at"), zoneless_micros("received_at"), "update_id")
-    return history_from_states(states, pair).withColumnRenamed("key", "symbol")
+    states, shards = states_from_updates(updates, {a: reported(a) for a in pair}, symbol_key("symbol"), iso_micros("registry_updated_at"), zoneless_micros("received_at"), "update_id", shard_rows)
+    return history_from_states(states, shards, pair).withColumnRenamed("entity", "symbol")

@@ -97,6 +97,22 @@ def test_status_history(spark):
     assert status_history(df.limit(0)).count() == 0
 
 
+def test_a_history_cut_into_shards_is_the_same(spark):
+    r = random.Random(3)
+    state = lambda: r.choice(["listed", "suspended", None, " "])
+    rows = [(i, "HOT" if i % 2 else f"E{i % 30}", state(), state(), f"2025-{1 + i % 12:02d}-{1 + i // 12 % 28:02d}T{r.randint(0, 23):02d}:{r.choice([0, 30]):02d}:00Z" if i % 5 else "2025-06-01T09:00:00+05:00", "2025-01-01", "k", 0) for i in range(1500)]
+    df = spark.createDataFrame(rows, UPDATES.replace("timestamp_ntz", "string")).withColumn("received_at", F.col("received_at").cast("timestamp_ntz"))
+    told = lambda n: sorted(map(tuple, status_history(df, n).collect()), key=str)
+    whole = told(10**6)
+    assert told(60) == whole and sum(x[0] == "HOT" for x in whole) > 100
+    starts = {}
+    for symbol, a, b, *_ in whole:
+        starts.setdefault(symbol, []).append((a, b))
+    for own in starts.values():
+        own.sort()
+        assert [b for _, b in own] == [*[a for a, _ in own[1:]], None]
+
+
 def test_differences_are_null_safe(spark):
     now = spark.createDataFrame([(1, "a"), (None, None), (3, None), (4, "x")], "k int, a string")
     before = spark.createDataFrame([(1, "b"), (None, None), (2, None), (4, "x")], "k int, a string")
