@@ -87,11 +87,15 @@ def rejected(lines: DataFrame) -> DataFrame:
     The reason is the first that holds: ``broken_quoting`` (a field with a double quote that is not wholly enclosed,
     inner ones doubled), ``column_count`` (not ten; an empty or null line has one), ``invalid_value``. Commas, quotes
     and line ends within quotes belong to the field; a closing carriage return belongs to the line end. Extra columns
-    of the table are ignored. ``line_id`` must be unique; null ids are matched as equal.
+    of the table are ignored. Records are told apart by their offset, file and line, and ``line_id``; nulls are matched as equal.
     """
     raw = lines.select("line_id", "source_file", "line_no", "raw_text")
-    loaded = load_strict(lines).select(F.col("line_id").alias("loaded_id"))
-    rest = raw.join(loaded, F.col("line_id").eqNullSafe(F.col("loaded_id")), "left_anti")
+    offset = ("source_file", "line_no", "line_id")
+    loaded = load_strict(lines).select(*[F.col(c).alias(f"l_{c}") for c in offset])
+    same = F.lit(True)
+    for c in offset:
+        same &= F.col(c).eqNullSafe(F.col(f"l_{c}"))
+    rest = raw.join(loaded, same, "left_anti")
     reason = F.when(F.col("broken"), "broken_quoting").when(F.col("columns") != len(FIELDS), "column_count").otherwise("invalid_value")
     return _parsed(rest).select("line_id", "source_file", "line_no", "raw_text", reason.alias("reason"))
 
