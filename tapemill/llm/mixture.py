@@ -2,8 +2,10 @@
 
 The texts of a source, one after the other, are cut into blocks of equal length; a block is addressed by its index. The
 number of slots of each source follows from the shares and the repeat caps; each output shard draws its source counts
-from the multinomial given those totals, so that the whole mixture holds the shares exactly. A slot finds its block by
-a pseudorandom permutation of the source's indices, a new one for each repetition, and slots and blocks join by index.
+from the multinomial given those totals, so that the whole mixture holds the shares exactly. The draws form a binary tree
+over the shards, each node seeded by its place, so that a task draws its own shards without knowing the others'. A slot
+finds its block by a pseudorandom permutation of the source's indices, a new one for each repetition, and slots and blocks
+join by index.
 """
 
 from __future__ import annotations
@@ -15,13 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapemill.llm.tokens import VOCABULARY, encoder, sound
+from tapemill.llm.tokens import VOCABULARY, encoder, sound, spread
 from tapemill.session import durable
 
 BLOCK_TOKENS = 128
-#: Documents of a source are spread over so many buckets at least, or as many as keep this many documents in one.
-BUCKETS, BUCKET_DOCUMENTS = 64, 100_000
-SLOTS_PER_SHARD, MOST_SHARDS, MOST_SOURCES = 1024, 8192, 10_000
+#: Documents of a source are spread over so many buckets, whatever the table's size.
+BUCKETS = 65_536
+SLOTS_PER_SHARD, MOST_SOURCES = 1024, 10_000
+#: Shards that one task draws and fills.
+SHARDS_PER_TASK = 64
+#: The numpy draw takes fewer slots than this; more are split in proportion, to within a slot of each source.
+MOST_DRAWN = 10**9
 SEED = 1729
 
 
@@ -55,12 +61,12 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 6)
     return out
 
 
-def token_blocks(documents: DataFrame, block: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY, buckets: int | None = None) -> DataFrame:
+def token_blocks(documents: DataFrame, block: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY, buckets: int = BUCKETS) -> DataFrame:
     """(source, block_index, n_tokens, tokens, doc_ids, doc_starts): each source's tokens in blocks of ``block``.
 
     Documents follow each other in (bucket, doc_id) order, a source's last block may be short. Null and empty texts
     have no tokens; the null source is none. Tokenized once. A document's place comes from its bucket's offset, a sum
-    over (source, bucket) rows, and a running count inside the bucket, so that a source may hold any share of the rows.
+    over (source, bucket) rows, and a running sum inside the bucket, so that a source may hold any share of the rows.
     """
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,40 +76,20 @@ def token_blocks(documents: DataFrame, block: int = BLOCK_TOKENS, vocabulary: st
                 ids = [tokenizer.encode_ordinary(sound(t)) for t in some.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column("source"), some.column("doc_id"), some.column("bucket"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())], ["source", "doc_id", "bucket", "ids", "n"])
 
-    buckets = buckets or max(BUCKETS, -(-documents.count() // BUCKET_DOCUMENTS))
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
     texts = documents.where("source is not null and text <> ''").select("source", "doc_id", bucket, "text")
-    ordered = texts.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "doc_id")
-    # Kept with its partitions and their order: what follows reads it twice, and in place.
-    told = durable(ordered.mapInArrow(tokenize, "source string, doc_id bigint, bucket int, ids array<int>, n bigint"))
+    told = durable(spread(texts).mapInArrow(tokenize, "source string, doc_id bigint, bucket int, ids array<int>, n bigint").where("n > 0"))
+    before = Window.unboundedPreceding, -1
     sums = told.groupBy("source", "bucket").agg(F.sum("n").alias("many"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "bucket", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("offset"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, position = None, 0
-        for batch in batches:
-            out: list[tuple] = []
-            ids = batch.column("ids")
-            for i, (source, doc, b, offset) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("source", "doc_id", "bucket", "offset")), strict=True)):
-                if (source, b) != here:
-                    here, position = (source, b), offset
-                t = ids[i].values.to_numpy()
-                at = 0
-                while at < len(t):
-                    index, start = divmod(position, block)
-                    take = min(block - start, len(t) - at)
-                    out.append((source, index, start, doc, t[at : at + take]))
-                    at += take
-                    position += take
-            for some in (out[i : i + 8192] for i in range(0, len(out), 8192)):
-                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*some, strict=True), kinds, strict=True)], ["source", "block_index", "start", "doc_id", "part"])
-
-    placed = told.join(F.broadcast(offsets), ["source", "bucket"])  # a row per source and bucket, see the bounds
-    parts = placed.select("source", "doc_id", "bucket", "offset", "ids").mapInArrow(place, "source string, block_index bigint, start int, doc_id bigint, part array<int>")
+    offsets = sums.select("source", "bucket", F.coalesce(F.sum("many").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(*before)), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "n", F.xxhash64("ids")).rowsBetween(*before)
+    placed = told.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, ["source", "bucket"]).withColumn("at", F.col("offset") + F.col("inside"))
+    each = placed.select("source", "doc_id", "ids", "n", "at", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("n") - 1) / block))).alias("block_index"))
+    first = F.greatest(F.col("at"), F.col("block_index") * block)
+    cut = F.slice("ids", (first - F.col("at") + 1).cast("int"), (F.least(F.col("at") + F.col("n"), (F.col("block_index") + 1) * block) - first).cast("int"))
+    parts = each.select("source", "block_index", F.struct((first - F.col("block_index") * block).cast("int").alias("start"), "doc_id", cut.alias("part")).alias("p"))
     # At most ``block`` parts meet in a block.
-    blocks = parts.groupBy("source", "block_index").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id", "part"))).alias("parts"))
+    blocks = parts.groupBy("source", "block_index").agg(F.sort_array(F.collect_list("p")).alias("parts"))
     return blocks.select("source", "block_index", F.aggregate("parts.part", F.lit(0), lambda a, p: a + F.size(p)).alias("n_tokens"), F.flatten("parts.part").alias("tokens"), F.col("parts.doc_id").alias("doc_ids"), F.col("parts.start").alias("doc_starts"))
 
 
@@ -126,18 +112,45 @@ def quotas(blocks: dict[str, int], shares: dict[str, float], repeats: dict[str,
     return got
 
 
-def shard_counts(quota: dict[str, int], seed: int = SEED) -> list[tuple[int, str, int, int]]:
-    """(shard, source, first slot, slots): multinomial draws for each shard, given the totals."""
-    names, left = sorted(quota), np.array([quota[s] for s in sorted(quota)], np.int64)
+def _drawn(left: np.ndarray, size: int, node: list[int]) -> np.ndarray:
+    """How many of ``size`` slots each source gets of what is ``left``."""
     total = int(left.sum())
-    shards = max(1, min(MOST_SHARDS, -(-total // SLOTS_PER_SHARD)))
-    random, first, rows = np.random.default_rng(seed), np.zeros(len(names), np.int64), []
-    for shard in range(shards):
-        size = int(left.sum()) // (shards - shard)
-        drawn = left.copy() if shard == shards - 1 else random.multivariate_hypergeometric(left, size, method="marginals")
-        rows += [(shard, s, int(f), int(k)) for s, f, k in zip(names, first, drawn, strict=True) if k]
-        first, left = first + drawn, left - drawn
-    return rows
+    if size >= total:
+        return left.copy()
+    if total < MOST_DRAWN:
+        return np.random.default_rng(node).multivariate_hypergeometric(left, size, method="marginals")
+    shares = [divmod(int(k) * size, total) for k in left]
+    got = np.array([whole for whole, _ in shares], np.int64)
+    largest = sorted(range(len(left)), key=lambda i: (-shares[i][1], i))[: size - int(got.sum())]
+    got[largest] += 1
+    return got
+
+
+def shard_total(slots: int) -> int:
+    return max(1, -(-slots // SLOTS_PER_SHARD))
+
+
+def shard_draws(quota: np.ndarray, a: int, b: int, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, first slot and number of slots of each source) of the shards ``a`` to ``b``.
+
+    A node of the tree is a range of shards; its left half draws from what the node holds, the right half gets the rest.
+    Only nodes that overlap the wanted shards are drawn.
+    """
+    total = int(quota.sum())
+    shards = shard_total(total)
+    upto = lambda i: total * i // shards
+    todo = [(0, shards, np.zeros(len(quota), np.int64), quota.astype(np.int64))]
+    while todo:
+        low, high, first, held = todo.pop()
+        if high <= a or low >= b:
+            continue
+        if high - low == 1:
+            yield low, first, held
+            continue
+        middle = (low + high) // 2
+        own = _drawn(held, upto(middle) - upto(low), [seed, low, high])
+        todo.append((middle, high, first + own, held - own))
+        todo.append((low, middle, first, own))
 
 
 def _targets(targets: DataFrame) -> list:
@@ -147,7 +160,7 @@ def _targets(targets: DataFrame) -> list:
     return rows
 
 
-def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY, seed: int = SEED, buckets: int | None = None) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
     """The mixture, a row per slot: shard, slot_order, source, repeat, block_index, n_tokens, tokens, doc_ids, doc_starts.
 
     The mixture is as large as the shares and caps allow; no block of a source comes more than ``max_repeats`` times,
@@ -158,27 +171,39 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK_TOKENS, voc
     spark = documents.sparkSession
     wanted = _targets(targets)
     names = [r["source"] for r in wanted if r["share"] and r["repeats"]]
-    made = token_blocks(documents.where(F.col("source").isin(names)), block, vocabulary, buckets)
-    made = durable(made)
-    have = {r["source"]: r["n"] for r in made.groupBy("source").agg((F.max("block_index") + 1).alias("n")).collect()}
-    counts = shard_counts(quotas(have, {r["source"]: r["share"] for r in wanted}, {r["source"]: r["repeats"] or 0 for r in wanted}), seed)
-    numbered = {s: i for i, s in enumerate(sorted(have))}
-    plan = spark.createDataFrame([(shard, s, f, k, have[s], numbered[s]) for shard, s, f, k in counts], "shard int, source string, first bigint, slots bigint, blocks bigint, number int")
-    slots = plan.repartition("shard", "source").select("shard", "source", "blocks", "number", F.explode(F.sequence("first", F.col("first") + F.col("slots") - 1)).alias("slot"))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot, n, number = (batch.column(c).to_numpy().astype(np.int64) for c in ("slot", "blocks", "number"))
-            repeat = slot // n
-            index = permuted(slot % n, n, seed + number * 1_000_003 + repeat)
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("source"), batch.column("slot"), pa.array(repeat.astype(np.int32)), pa.array(index)], ["shard", "source", "slot", "repeat", "block_index"])
-
-    found = slots.mapInArrow(find, "shard int, source string, slot bigint, repeat int, block_index bigint")
+    made = durable(token_blocks(documents.where(F.col("source").isin(names)), block, vocabulary, buckets))
+    have = {r["source"]: r["n"] for r in made.groupBy("source").agg((F.max("block_index") + 1).alias("n")).collect()}  # a row per target
+    quota = quotas(have, {r["source"]: r["share"] for r in wanted}, {r["source"]: r["repeats"] or 0 for r in wanted})
+    used = sorted(quota)
+    slots, blocks = np.array([quota[s] for s in used], np.int64), np.array([have[s] for s in used], np.int64)
+    shards = shard_total(int(slots.sum())) if used else 0
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task in (t for batch in batches for t in batch.column("id").to_pylist()):
+            for shard, first, many in shard_draws(slots, task * SHARDS_PER_TASK, (task + 1) * SHARDS_PER_TASK, seed):
+                source = np.repeat(np.arange(len(used)), many)
+                slot = np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(source))
+                n = blocks[source]
+                repeat = slot // n
+                index = permuted(slot % n, n, seed + source * 1_000_003 + repeat)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), shard, np.int64)), pa.DictionaryArray.from_arrays(pa.array(source), pa.array(used, pa.string())).cast(pa.string()), pa.array(slot), pa.array(repeat.astype(np.int32)), pa.array(index)], ["shard", "source", "slot", "repeat", "block_index"])
+
+    found = spark.range(-(-shards // SHARDS_PER_TASK)).mapInArrow(fill, "shard bigint, source string, slot bigint, repeat int, block_index bigint")
     order = F.xxhash64(F.lit(seed), "shard", "source", "slot").alias("slot_order")
-    # Slots look few to the planner, which sees only their ranges: it must not broadcast them.
+    # Slots look few to the planner, which sees only the number of tasks: it must not broadcast them.
     return found.hint("merge").join(made, ["source", "block_index"]).select("shard", order, "source", "repeat", "block_index", "n_tokens", "tokens", "doc_ids", "doc_starts")
 
 
+def held(shown: DataFrame, slack_slots: float = 1.0) -> DataFrame:
+    """(source, target_share, max_repeats, capped, shared) of :func:`shares`: whether the cap and the share are kept.
+
+    Shares are of the slots, among the sources that contribute, to within ``slack_slots``; a source that cannot is kept.
+    """
+    total = Window.partitionBy()  # one row per source
+    exact = F.try_divide(F.col("target_share") * F.sum("slots").over(total), F.sum(F.when(F.col("slots") > 0, F.col("target_share"))).over(total))
+    return shown.select("source", "target_share", "max_repeats", (F.col("most_repeats") <= F.col("max_repeats")).alias("capped"), ((F.col("slots") == 0) | (F.abs(F.col("slots") - exact) <= slack_slots)).alias("shared"))
+
+
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, slots, blocks, most_repeats, tokens, actual_share) of a mixture, per target."""
     used = mixture.groupBy("source", "block_index").agg(F.count("*").alias("times"), F.sum("n_tokens").alias("tokens")).groupBy("source").agg(F.sum("times").alias("slots"), F.count("*").alias("blocks"), F.max("times").alias("most_repeats"), F.sum("tokens").alias("tokens"))

@@ -70,12 +70,26 @@ def test_quotas():
     assert mixture.quotas({"a": 100, "b": 10}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 3}) == {"a": 30, "b": 30}
     assert mixture.quotas({"a": 100}, {"a": 0.5, "b": 0.5}, {"a": 2, "b": 3}) == {"a": 200}
     assert mixture.quotas({}, {"a": 1.0}, {"a": 2}) == {}
-    q = {"a": 5000, "b": 2500, "c": 1}
-    rows = mixture.shard_counts(q)
-    assert len({r[0] for r in rows}) == 8
-    for s, n in q.items():
-        own = sorted((first, k) for _, source, first, k in rows if source == s)
-        assert sum(k for _, k in own) == n and own[0][0] == 0 and all(a + k == b for (a, k), (b, _) in zip(own, own[1:], strict=False))
+def test_shards_draw_all_slots_once():
+    q = np.array([5000, 2500, 1])
+    rows = list(mixture.shard_draws(q, 0, 10**9))
+    assert [r[0] for r in rows] == list(range(8)) and {int(k.sum()) for _, _, k in rows} <= {937, 938}
+    assert (sum(k for _, _, k in rows) == q).all()
+    assert (np.cumsum([k for _, _, k in rows], axis=0)[:-1] == [f for _, f, _ in rows][1:]).all()
+    for a, b in ((0, 3), (3, 4), (5, 8)):  # a task draws the same as all others do
+        assert str(list(mixture.shard_draws(q, a, b))) == str(rows[a:b])
+    counts = np.array([k for _, _, k in mixture.shard_draws(np.array([600_000, 400_000]), 0, 10**9)])
+    assert 0.5 < counts[:, 0].std() / np.sqrt(1024 * 0.24) < 1.5  # as of a multinomial, not the same in every shard
+
+
+def test_shards_of_a_very_large_mixture():
+    q = np.array([120_000_000_000, 79_999_999_999, 7, 2_000_000_000])
+    shards = mixture.shard_total(int(q.sum()))
+    for a in (0, 12_345_678, shards - 3):
+        rows = list(mixture.shard_draws(q, a, a + 3))
+        assert [r[0] for r in rows] == [a, a + 1, a + 2] and all(1023 <= k.sum() <= 1025 and (k >= 0).all() and (f + k <= q).all() for _, f, k in rows)
+        assert all((f + k == g).all() for (_, f, k), (_, g, _) in zip(rows, rows[1:], strict=False))
+        assert all(abs(f - q * (s / shards)).max() < 2e6 for s, f, _ in rows)  # the shares hold all along
 
 
 def test_mixture(spark):
@@ -93,6 +107,7 @@ def test_mixture(spark):
     again = mixture.mix(docs, targets, block=32).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))  # the same draw each time
     shown = {s["source"]: s for s in mixture.shares(mixture.mix(docs, targets, block=32), targets).collect()}
+    assert all(r["capped"] and r["shared"] for r in mixture.held(mixture.shares(mixture.mix(docs, targets, block=32), targets)).collect())
     assert shown["absent"]["slots"] == 0 and shown["small"]["most_repeats"] <= 2 and abs(sum(s["actual_share"] for s in shown.values()) - 1) < 1e-9
 
 
