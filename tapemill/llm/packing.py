@@ -24,7 +24,7 @@ from tapemill.session import durable
 
 DIMENSIONS, BITS = 4, 10
 #: Neighbours that are packed together, and containers kept open from one window to the next.
-WINDOW, OPEN = 2048, 256
+WINDOW, OPEN = 512, 64
 #: A range fills this many containers at least, so that its last ones, which stay part empty, weigh little; and it weighs so
 #: much at least, a document as its tokens and a little more, so that a task has enough to do and not too much.
 CONTAINERS_PER_RANGE, RANGE_WEIGHT, DOCUMENT_WEIGHT = 1024, 1 << 25, 32
