@@ -7,17 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tapemill.operators.dedup import keep_last
-from tapemill.sources.files import _fs, replace_table
+from tapemill.session import durable
+from tapemill.sources.files import exists
 
 BARS = "bar_id bigint, symbol string, feed string, date date, ldcp double, open double, high double, low double, close double, change double, change_percent double, volume bigint, load_id bigint, ingested_at timestamp_ntz"
 
 
 def merge_batch(batch: DataFrame, target: str) -> None:
-    """The target with the batch's rows: the last arrived of each (symbol, feed, date). Running it twice changes nothing."""
+    """The target, partitioned by date, with the batch's rows: the last arrived of each (symbol, feed, date).
+
+    Only partitions of the batch's dates are read and replaced; rows without a date have one of their own. Running it twice
+    changes nothing.
+    """
     spark = batch.sparkSession
-    fs, at = _fs(spark, target)
-    both = spark.read.parquet(target).unionByName(batch) if fs.exists(at(target)) else batch
-    replace_table(keep_last(both, ["symbol", "feed", "date"], ["ingested_at", "bar_id"]), target)
+    both = batch
+    if exists(spark, target):
+        dates = batch.select("date").distinct()
+        stored = spark.read.schema(batch.schema).parquet(target)
+        old = stored.join(dates.withColumnRenamed("date", "b_date"), F.col("date").eqNullSafe(F.col("b_date")), "left_semi")
+        both = old.unionByName(batch)
+    # Kept apart from the files it came from, which are about to be replaced.
+    merged = durable(keep_last(both, ["symbol", "feed", "date"], ["ingested_at", "bar_id"]))
+    merged.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(target)
 
 
 def ingest_available(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = BARS) -> StreamingQuery:

@@ -40,6 +40,65 @@ def test_daily_folder(spark, tmp_path):
     assert files.read_daily_folder(spark, tmp_path / "nothing")[0].count() == 0
 
 
+def test_the_later_row_of_a_file_wins(spark, tmp_path):
+    daily(tmp_path, "market_2026-07-01.csv", [row("UBL", "2026-07-01", 10), row("PPL", "2026-07-01", 7), row("UBL", "2026-07-01", 9), row("UBL", "2026-07-01", 8)])
+    rows, rejects = files.read_daily_folder(spark, tmp_path)
+    assert not rejects and {r["symbol"]: r["close"] for r in files.master_dataset(rows).collect()} == {"UBL": 8.0, "PPL": 7.0}
+    # As of one large file in many parts.
+    big = [row(f"S{i % 50}", "2026-07-02", 1000 - i // 50) for i in range(5000)]
+    daily(tmp_path, "market_2026-07-02.csv", big, age=-9)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = files.read_daily_folder(spark, tmp_path)[0]
+        assert rows.select("source_block").distinct().count() > 5
+        got = files.master_dataset(rows).where("symbol like 'S%'")
+        assert {r["close"] for r in got.collect()} == {901.0} and got.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_combined_files(spark, tmp_path):
+    daily(tmp_path, "market_2026-07-01.csv", [row("UBL", "2026-07-01", 10), row("UBL", "no date", 11)])
+    daily(tmp_path, "market_2026-07-02.csv", ["NA,2026-07-02,x"], header="symbol,date,note")
+    daily(tmp_path, "market_2026-07-03.csv", [], header="")
+    rows, rejects = files.combined(spark, [*files.listed(spark, tmp_path, "market_*.csv"), tmp_path / "none.csv"])
+    assert [r.reason.split(":")[0] for r in rejects] == ["empty", "unreadable"]
+    assert sorted((r["symbol"], str(r["date"]), r["close"], r["note"]) for r in rows.collect()) == [("NA", "2026-07-02", None, "x"), ("UBL", "2026-07-01", 10.0, None), ("UBL", "None", 11.0, None)]
+    assert files.combined(spark, [tmp_path / "none.csv"])[0] is None
+
+
+def registry_file(path, columns, rows):
+    path.write_text("\n".join([",".join(columns), *[",".join(r.get(c, "") for c in columns) for r in rows]]) + "\n")
+    return path
+
+
+def test_registries(spark, tmp_path):
+    flags = {"officially_listed": "TRUE", "is_new_listing": "0", "cached_listings_used": "false"}
+    rows, errors = files.read_company_registry(spark, registry_file(tmp_path / "r.csv", files.REGISTRY, [{"symbol": " 007 ", "first_seen_date": "2026-01-02", "last_seen_date": "soon", "trading_days": "5", **flags}]))
+    one = rows.first()
+    assert not errors and (one["symbol"], one["first_seen_date"], one["last_seen_date"], one["trading_days"], one["officially_listed"], one["is_new_listing"]) == ("007", date(2026, 1, 2), None, 5, True, False)
+    assert files.read_company_registry(spark, tmp_path / "none.csv")[0].columns == list(files.REGISTRY)
+    for name, columns, own in (("a", files.REGISTRY[:-1], flags), ("b", files.REGISTRY, flags | {"is_new_listing": "maybe"})):
+        got, errors = files.read_company_registry(spark, registry_file(tmp_path / f"{name}.csv", columns, [{"symbol": "A", **own}]))
+        assert got.count() == 0 and len(errors) == 1
+    model = {"model_id": "m1", "model_scope": "symbol", "symbol": "NA", "model_version": "1.0", "model_status": "trained", "needs_retraining": "1"}
+    got = files.read_model_registry(spark, registry_file(tmp_path / "m.csv", files.MODELS, [model, model | {"model_id": "m2", "model_scope": "master"}]))
+    assert [(r["symbol"], r["model_version"], r["needs_retraining"]) for r in got.collect()] == [("NA", 1, True)] * 2
+    assert files.read_model_registry(spark, tmp_path / "none.csv").count() == 0
+    for bad in ({"model_scope": "all"}, {"model_status": "done"}, {"model_version": "x"}, {"needs_retraining": ""}, {"model_id": "m0"}):
+        with pytest.raises(ValueError):
+            files.read_model_registry(spark, registry_file(tmp_path / "x.csv", files.MODELS, [model | {"model_id": "m0"}, model | bad]))
+
+
+def test_indices_are_refreshed_one_by_one(spark, tmp_path):
+    assert files.read_index(spark, tmp_path / "none.csv").columns == list(files.INDEX)
+    source = lambda code, *days: files.projected(spark.createDataFrame([(code, date(2026, 1, d), float(d), 5, datetime(2026, 2, 1)) for d in days], "index_code string, date date, value double, timestamp bigint, fetched_at timestamp_ntz"), files.INDEX, files.INDEX_TYPES)
+    master, failed = files.refresh_indices(spark, str(tmp_path / "i"), {"A": lambda: source("A", 1, 2), "B": lambda: source("B", 2)})
+    assert not failed and [(r["date"].day, r["index_code"]) for r in master.collect()] == [(1, "A"), (2, "A"), (2, "B")]
+    master, failed = files.refresh_indices(spark, str(tmp_path / "i"), {"A": lambda: files.fetch(lambda u: (500, "", ""), "u", "json"), "B": lambda: source("B", 3)})
+    assert list(failed) == ["A"] and sorted((r["index_code"], r["date"].day) for r in master.collect()) == [("A", 1), ("A", 2), ("B", 2), ("B", 3)]
+
+
 def test_replace_reads_what_it_replaces(spark, tmp_path):
     path = str(tmp_path / "t")
     files.replace_table(spark.range(3), path)
@@ -52,6 +111,10 @@ def test_replace_reads_what_it_replaces(spark, tmp_path):
     assert "2025-01-02" in "".join(p.read_text() for p in (tmp_path / "c").glob("*.csv"))
     with pytest.raises(ValueError):
         files.safe_component("..")
+    for clash in (["a/b", "a_b"], [".."]):
+        with pytest.raises(ValueError, match="safe name"):
+            files.write_by_symbol(spark.createDataFrame([(c,) for c in clash], "symbol string"), str(tmp_path / "x"))
+    assert not (tmp_path / "x").exists()
 
 
 def test_upsert_and_ingest(spark, tmp_path):
@@ -64,6 +127,9 @@ def test_upsert_and_ingest(spark, tmp_path):
     bars = "symbol string, date date, ldcp double, open double, high double, low double, close double, change double, change_percent double, volume bigint"
     rows = spark.createDataFrame([("A", date(2025, 1, 1), *[1.0] * 7, 5), ("A", date(2025, 1, 1), *[1.0] * 7, -5)], bars)
     assert files.write_ingest(rows, str(tmp_path / "v"), str(tmp_path / "r")) == (1, 1)
+    assert spark.read.parquet(str(tmp_path / "v")).columns == rows.columns and "negative" in spark.read.parquet(str(tmp_path / "r")).first()["reason"]
+    assert files.write_ingest(rows.limit(0), str(tmp_path / "v0"), str(tmp_path / "r0")) == (0, 0) and not (tmp_path / "r0").exists()
+    assert files.write_ingest(rows.where("volume > 0"), str(tmp_path / "v1"), str(tmp_path / "r1")) == (1, 0) and not (tmp_path / "r1").exists()
 
 
 def test_snapshots(spark, tmp_path):
@@ -96,6 +162,12 @@ def test_stream_takes_new_files_once(spark, tmp_path):
     for _ in range(2):
         ingest.ingest_available(spark, source, target, checkpoint).awaitTermination()
     assert {r["symbol"]: r["close"] for r in spark.read.parquet(target).collect()} == {"A": 2.0, "B": 1.0}
+    kept = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "out" / "date=2025-01-01").iterdir()}
+    ingest.merge_batch(rows((5, "C", 3.0, 1)).withColumn("date", F.lit(date(2025, 1, 2))), target)
+    ingest.merge_batch(rows((6, "D", 3.0, 1)).withColumn("date", F.lit(None).cast("date")), target)
+    ingest.merge_batch(rows((7, "D", 4.0, 2)).withColumn("date", F.lit(None).cast("date")), target)
+    assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "out" / "date=2025-01-01").iterdir()} == kept
+    assert {r["symbol"]: r["close"] for r in spark.read.parquet(target).collect()} == {"A": 2.0, "B": 1.0, "C": 3.0, "D": 4.0}
 
 
 def test_stream_windows_equal_batch(spark, sf, tmp_path):
