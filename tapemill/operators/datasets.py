@@ -9,8 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapemill.operators import indicators, quality, registry
+from tapemill.operators import indicators, indices, quality, registry
 from tapemill.operators.dedup import keep_last
+from tapemill.sources import files
 
 MINIMUM_ROWS = 252
 #: Types a master dataset may hold.
@@ -23,14 +24,30 @@ def feature_version(spec: dict) -> str:
     return "tm-1-" + hashlib.sha256(json.dumps(spec, sort_keys=True).encode()).hexdigest()[:12]
 
 
-VERSION = feature_version({"features": list(indicators.FEATURES), "warmup": indicators.WARMUP})
+VERSION = feature_version({"features": list(indicators.FEATURES), "warmup": indicators.WARMUP, "context": list(indices.CONTEXT)})
+#: What a dataset holds besides features, in its order.
+METADATA = ("is_active", "official_status", "lifecycle_status", "security_type")
+COLUMNS = ("symbol", "date", *indicators.RAW, "simple_return", "log_return", "high_low_range", "open_close_return", *(c for c in indicators.INDICATORS if c != "true_range"), *METADATA, *indices.CONTEXT, "feature_version")
 
 
-def prepared(bars: DataFrame, reg: DataFrame) -> DataFrame:
-    """Features of symbols without fatal faults, with their registry metadata."""
-    fatal = quality.fatal_errors(bars).select("symbol")
-    sound = bars.where("trim(symbol) <> ''").join(fatal, "symbol", "left_anti")
-    return registry.attach(indicators.calculate_features(sound), reg).withColumn("feature_version", F.lit(VERSION))
+def prepared(bars: DataFrame, reg: DataFrame, context: DataFrame | None = None, tolerance_days: int = 0) -> DataFrame:
+    """Features of symbols without fatal faults, with their registry metadata and the market's context.
+
+    Symbols are trimmed first, so that spellings of one are one series. ``context``: see ``indices.context``; each row gets
+    that of its date, or of the latest date up to ``tolerance_days`` before. Without it the context's columns are null.
+    """
+    trimmed = bars.withColumn("symbol", F.trim("symbol"))
+    fatal = quality.fatal_errors(trimmed).select("symbol")
+    sound = trimmed.where("symbol <> ''").join(fatal, "symbol", "left_anti")
+    rows = registry.attach(indicators.calculate_features(sound), reg).withColumn("feature_version", F.lit(VERSION))
+    if context is None:
+        return rows.withColumns({c: F.lit(None).cast("double") for c in indices.CONTEXT})
+    return indices.join_context(rows, context.select("date", *indices.CONTEXT), tolerance_days).drop("context_date")
+
+
+def dataset_rows(features: DataFrame) -> DataFrame:
+    """The columns of a dataset, in its order, of rows of :func:`symbol_datasets` or :func:`master_dataset`."""
+    return features.select(*COLUMNS)
 
 
 def symbol_datasets(features: DataFrame, least: int = MINIMUM_ROWS) -> DataFrame:
@@ -65,7 +82,8 @@ def split_label(number: Column, n: Column, proportions: Sequence[float] = PROPOR
 def chronological_split(data: DataFrame, scope: str, proportions: Sequence[float] = PROPORTIONS) -> DataFrame:
     """Adds ``split`` by date boundaries, over all symbols (``master``) or for each (``symbol``).
 
-    Only distinct dates are ranked, one row per calendar day; with fewer than three of them the split is null.
+    Only distinct dates are ranked, one row per calendar day; with fewer than three of them the split is null. For one
+    dataset, where that is an error, see :func:`checked_split`.
     """
     _check(proportions)
     if scope not in ("master", "symbol"):
@@ -77,33 +95,59 @@ def chronological_split(data: DataFrame, scope: str, proportions: Sequence[float
     return data.join(labelled.select(*keys, "date", split_label(F.col("_k"), F.col("_n"), proportions).alias("split")), [*keys, "date"], "left")
 
 
+def checked_split(data: DataFrame, scope: str, proportions: Sequence[float] = PROPORTIONS) -> DataFrame:
+    """:func:`chronological_split` of one dataset; ValueError below three dates or, for a symbol's, with several symbols."""
+    told = data.where("date is not null").agg(F.count_distinct("date").alias("dates"), F.count_distinct("symbol").alias("symbols")).first()
+    if told["dates"] < 3 or (scope == "symbol" and told["symbols"] != 1):
+        raise ValueError(f"{told['dates']} dates of {told['symbols']} symbols cannot be split by {scope}")
+    return chronological_split(data, scope, proportions)
+
+
 def split_metadata(split: DataFrame) -> DataFrame:
     """(split, first and last date, rows, sorted symbols) of each part."""
     return split.where("split is not null").groupBy("split").agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count("*").alias("rows"), F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("symbols"))
 
 
 def fit_scaler(split: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: mean and population deviation (1 where nothing varies) of each column over the training part."""
-    train = split.where("split = 'train'")
+    """One row: mean and population deviation (1 where nothing varies) of each column over the training part, and counts of
+    the training rows and of rows, of any part, with a value that is no finite number."""
+    train = F.col("split") == "train"
+    bad = F.lit(False)
     out = []
     for c in columns:
-        s = F.stddev_pop(c)
-        out += [F.avg(c).alias(f"mean_{c}"), F.when(s > 0, s).otherwise(1.0).alias(f"scale_{c}")]
-    return train.agg(F.count("*").alias("training_rows"), *out)
+        x = F.when(train, F.col(c).cast("double"))
+        s = F.stddev_pop(x)
+        out += [F.avg(x).alias(f"mean_{c}"), F.when(s > 0, s).otherwise(1.0).alias(f"scale_{c}")]
+        bad |= F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
+    return split.where("split is not null").agg(F.count_if(train).alias("training_rows"), F.count_if(bad).alias("non_finite_rows"), *out)
 
 
 def scale(split: DataFrame, scaler: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns standardised by the fitted row."""
-    both = split.join(F.broadcast(scaler))  # one row
-    return both.withColumns({c: (F.col(c) - F.col(f"mean_{c}")) / F.col(f"scale_{c}") for c in columns}).drop(*scaler.columns)
+    """Columns standardised by the fitted row; a row that was fitted over values that are no finite numbers raises as it is used."""
+    sound = F.when(F.col("non_finite_rows") == 0, F.col("training_rows")).otherwise(F.raise_error(F.lit("a scaler needs finite values in every part")).cast("bigint"))
+    both = split.join(F.broadcast(scaler.withColumn("training_rows", sound)))  # one row
+    checked = both.where("training_rows >= 0")
+    return checked.withColumns({c: (F.col(c) - F.col(f"mean_{c}")) / F.col(f"scale_{c}") for c in columns}).drop(*scaler.columns)
 
 
-def non_finite(split: DataFrame, columns: Sequence[str]) -> int:
-    """Rows of any part with a value that is no finite number; a scaler must not be fitted with any."""
-    bad = F.lit(False)
-    for c in columns:
-        bad |= F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    return split.where(bad).count()
+def scaler_rows(scaler: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, mean, scale, training_rows) of a fitted row, the form in which it is kept (K3)."""
+    return scaler.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"mean_{c}").alias("mean"), F.col(f"scale_{c}").alias("scale"), "training_rows") for c in columns])))
+
+
+def persist_split(split: DataFrame, columns: Sequence[str], folder: str) -> dict[str, DataFrame]:
+    """Writes ``raw`` and ``scaled`` rows partitioned by split, the ``scaler`` and the ``metadata`` of the parts, and reads them
+    again (M15, K3). Values that are no finite numbers raise and nothing is written.
+    """
+    rows = split.where("split is not null")
+    fitted = fit_scaler(rows, columns)
+    told = fitted.first()
+    if told["non_finite_rows"] or not told["training_rows"]:
+        raise ValueError(f"{told['non_finite_rows']} rows with values that are no finite numbers, {told['training_rows']} training rows")
+    parts = {"raw": rows, "scaled": scale(rows, rows.sparkSession.createDataFrame([told], fitted.schema), columns), "scaler": scaler_rows(fitted, columns), "metadata": split_metadata(rows)}
+    for name, part in parts.items():
+        files.replace_table(part, f"{folder}/{name}", partition_by=["split"] if name in ("raw", "scaled") else [])
+    return {name: rows.sparkSession.read.parquet(f"{folder}/{name}") for name in parts}
 
 
 def eligibility(bars: DataFrame, reg: DataFrame, features: DataFrame, least: int = MINIMUM_ROWS) -> DataFrame:

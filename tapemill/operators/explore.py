@@ -78,10 +78,10 @@ def summary(bars: DataFrame) -> DataFrame:
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    """(column_name, nulls) of every column; NaN is null. One pass."""
+    """(column_name, nulls) of every column, most nulls first; NaN is null. One pass."""
     bad = lambda c, t: F.count_if(F.col(c).isNull() | F.isnan(c)) if t in ("double", "float") else F.count_if(F.col(c).isNull())
     wide = df.agg(F.array(*[F.struct(F.lit(c).alias("column_name"), bad(c, t).alias("nulls")) for c, t in df.dtypes]).alias("a"))
-    return wide.select(F.inline("a"))
+    return wide.select(F.inline("a")).orderBy(F.desc("nulls"), "column_name")
 
 
 def history_lengths(bars: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -91,8 +91,8 @@ def history_lengths(bars: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def options(df: DataFrame, column: str) -> DataFrame:
-    """Distinct trimmed non-blank values."""
-    return df.select(F.trim(column).alias(column)).where(f"{column} <> ''").distinct()
+    """Distinct trimmed non-blank values in order."""
+    return df.select(F.trim(column).alias(column)).where(f"{column} <> ''").distinct().orderBy(column)
 
 
 def merged_selection(current: list[str], visible: list[str], chosen: list[str], allowed: list[str]) -> list[str]:

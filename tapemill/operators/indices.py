@@ -12,6 +12,8 @@ from tapemill.operators.indicators import guarded
 INDEX_CODES = ("KSE100", "KSE30", "KMI30", "ALLSHR")
 INDEX_WEIGHTS = {"1-day direction": 10, "5-trading-day return": 15, "20-trading-day return": 20, "Value relative to SMA-20": 15, "Value relative to SMA-50": 15, "Short-term momentum": 10, "Rolling volatility penalty": 10, "Volume participation": 5}
 MARKET_WEIGHTS = {"KSE100 trend": 15, "KSE30 trend": 10, "KMI30 trend": 10, "All Share trend": 15, "Advance/decline ratio": 15, "Advancing securities": 10, "Volume participation": 10, "Moving-average position": 10, "Volatility penalty": 5}
+#: The market's context by date, in the order of a dataset's columns.
+CONTEXT = ("kse100_value", "kse100_return_1d", "kse100_return_5d", "kse100_volatility_20", "kse30_value", "kse30_return_1d", "kmi30_value", "kmi30_return_1d", "allshr_value", "allshr_return_1d", "market_advance_decline_ratio", "market_advancing_percent", "market_health_score")
 LADDER = {"one_week_return": 5, "one_month_return": 21, "three_month_return": 63, "six_month_return": 126, "one_year_return": 252}
 PERIOD_MONTHS = {"1M": 1, "3M": 3, "6M": 6, "1Y": 12}
 
@@ -46,6 +48,12 @@ def normalized(series: DataFrame) -> DataFrame:
     return based.where("_base <> 0").select("index_code", "date", (F.col("value") / F.col("_base") * 100).alias("performance"))
 
 
+def single_index(series: DataFrame, code: str, label: str) -> DataFrame:
+    """(date, index, value) of one index under its label, in order; rows without date or value drop (M5)."""
+    rows = series.where((F.col("index_code") == code) & F.col("date").isNotNull()).select("date", F.lit(label).alias("index"), finite(F.col("value").try_cast("double")).alias("value"))
+    return rows.where("value is not null").orderBy("date")
+
+
 def context(series: DataFrame) -> DataFrame:
     """One row per date with each index's value and returns (M6): one grouping in place of a chain of outer joins.
 

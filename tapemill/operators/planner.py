@@ -45,14 +45,21 @@ def latest_states(events: DataFrame) -> DataFrame:
 
 
 def backfill_plan(days: DataFrame, available: DataFrame, states: DataFrame, today: date, retry_failed: bool = False) -> DataFrame:
-    """(date, plan): existing, weekend, unresolved, non_trading, failed or request; what exists is never a weekend."""
+    """(date, plan), a row for each of a day's labels.
+
+    ``existing``; ``weekend``; ``unresolved``, a temporary skip that is not there, or a working day not before today;
+    ``non_trading`` and ``failed`` as recorded; ``request``, a past working day that is neither there, known not to be traded,
+    nor failed unless ``retry_failed``. ``states`` has one row per date.
+    """
     have = available.select("date").distinct().withColumn("_have", F.lit(True))
     rows = days.join(have, "date", "left").join(states.select("date", "state"), "date", "left")
-    plan = (
-        F.when(F.col("_have"), "existing").when(F.col("is_weekend"), "weekend").when(F.col("date") >= F.lit(today), "unresolved").when(F.col("state") == "non_trading", "non_trading")
-        .when((F.col("state") == "failed") & F.lit(not retry_failed), "failed").otherwise("request")
-    )
-    return rows.select("date", plan.alias("plan"))
+    there, weekend, late = F.coalesce("_have", F.lit(False)), F.col("is_weekend"), F.col("date") >= F.lit(today)
+    was = lambda s: F.coalesce(F.col("state") == s, F.lit(False))
+    labels = {
+        "existing": there, "weekend": weekend, "unresolved": ~there & (was("temporary_unavailable") | (~weekend & late)), "non_trading": was("non_trading"), "failed": was("failed"),
+        "request": ~there & ~weekend & ~late & ~was("non_trading") & (~was("failed") | F.lit(retry_failed)),
+    }
+    return rows.select("date", F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in labels.items()]))).alias("plan"))
 
 
 def plan_totals(plan: DataFrame, delay: float) -> DataFrame:

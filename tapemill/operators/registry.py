@@ -67,7 +67,7 @@ def history_ranges(bars: DataFrame) -> DataFrame:
 
     By (symbol, date) first, so that a hot symbol's rows meet in no one task.
     """
-    days = bars.where("date is not null and trim(symbol) <> ''").groupBy("symbol", "date").agg(F.lit(1).alias("one"))
+    days = bars.where("date is not null and trim(symbol) <> ''").groupBy(F.trim("symbol").alias("symbol"), "date").agg(F.lit(1).alias("one"))
     return days.groupBy("symbol").agg(F.min("date").alias("first_seen_date"), F.max("date").alias("last_seen_date"), F.count("*").alias("trading_days"))
 
 
@@ -103,20 +103,46 @@ def unknown_overrides(registry: DataFrame, overrides: DataFrame) -> DataFrame:
     return overrides.select("symbol").distinct().join(registry.select("symbol"), "symbol", "left_anti")
 
 
+#: The columns of an override file.
+OVERRIDES = ("symbol", "company_name_override", "official_status_override", "previous_symbol", "successor_symbol", "corporate_action_type", "notes")
+
+
+def normalized_overrides(overrides: DataFrame) -> DataFrame:
+    """Exactly the columns of ``OVERRIDES``, squeezed, symbols in upper case, statuses in lower case; lacking ones are blank (M9)."""
+    text = {c: squeezed(F.col(c)) if c in overrides.columns else F.lit("") for c in OVERRIDES}
+    upper = ("symbol", "previous_symbol", "successor_symbol")
+    return overrides.select(*[(F.upper(t) if c in upper else F.lower(t) if c == "official_status_override" else t).alias(c) for c, t in text.items()])
+
+
+def checked_overrides(overrides: DataFrame) -> DataFrame:
+    """:func:`normalized_overrides`; ValueError for a column that is none of theirs, no symbol, a blank or repeated one, or an
+    unknown status."""
+    unknown = sorted(set(overrides.columns) - set(OVERRIDES))
+    if "symbol" not in overrides.columns or unknown:
+        raise ValueError(f"overrides: unsupported columns {', '.join(unknown)}" if unknown else "overrides: no symbol column")
+    rows = normalized_overrides(overrides)
+    status = F.col("official_status_override")
+    told = rows.agg(F.count_if(F.col("symbol") == "").alias("blank symbols"), F.count_if((status != "") & ~status.isin(list(OFFICIAL_STATUSES))).alias("unknown statuses")).first()
+    bad = [k for k, n in told.asDict().items() if n]
+    if bad:
+        raise ValueError(f"overrides: {', '.join(bad)}")
+    return assert_one(rows, ["symbol"], "overrides")
+
+
 def override(registry: DataFrame, overrides: DataFrame, check: bool = True) -> DataFrame:
     """Non-blank overrides win, notes and the source are added to, the lifecycle is classified anew.
 
-    ``overrides``: symbol, company_name_override, official_status_override, previous_symbol, successor_symbol,
-    corporate_action_type, notes. With ``check``, symbols that repeat or that the registry lacks raise ValueError.
+    Overrides are normalised first. With ``check``, what :func:`checked_overrides` refuses, and symbols that the registry
+    lacks, raise ValueError; without, symbols must be unique.
     """
+    overrides = checked_overrides(overrides) if check else normalized_overrides(overrides)
     if check:
-        assert_one(overrides, ["symbol"], "overrides")
         lost = [r[0] for r in unknown_overrides(registry, overrides).limit(20).collect()]
         if lost:
             raise ValueError(f"overrides of symbols without listing or history: {sorted(lost)}")
     o = overrides.select([F.col(c).alias(f"o_{c}") for c in overrides.columns])
     both = registry.join(o, F.col("symbol") == F.col("o_symbol"), "left")
-    wins = lambda new, old: F.when(squeezed(F.col(new)) != "", squeezed(F.col(new))).otherwise(F.col(old))
+    wins = lambda new, old: F.when(F.col(new) != "", F.col(new)).otherwise(F.col(old))
     out = both.withColumns({
         "company_name": wins("o_company_name_override", "company_name"), "official_status": wins("o_official_status_override", "official_status"), **{c: wins(f"o_{c}", c) for c in ("previous_symbol", "successor_symbol", "corporate_action_type")},
         "notes": F.when(F.col("o_symbol").isNotNull(), noted(F.col("notes"), F.col("o_notes"))).otherwise(F.col("notes")), "source": F.when(F.col("o_symbol").isNotNull(), noted(F.col("source"), F.lit("manual_override"))).otherwise(F.col("source")),
@@ -177,6 +203,6 @@ def attach(features: DataFrame, registry: DataFrame) -> DataFrame:
 
 def company_summary(bars: DataFrame, registry: DataFrame, tie: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Per symbol, and the further keys ``by``, first and last date, distinct days, latest close (of the last dated row, null kept) and metadata."""
-    days = bars.where("date is not null and trim(symbol) <> ''").groupBy(*by, "symbol", "date").agg(F.count("*").alias("n"), F.max(F.struct(tie, "close"))["close"].alias("close"))
+    days = bars.where("date is not null and trim(symbol) <> ''").groupBy(*by, F.trim("symbol").alias("symbol"), "date").agg(F.count("*").alias("n"), F.max(F.struct(tie, "close"))["close"].alias("close"))
     per = days.groupBy(*by, "symbol").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("trading_days"), F.sum("n").alias("rows"), F.max_by("close", "date").alias("latest_close"))
     return per.join(registry.select("symbol", "company_name", "sector", "security_type", "official_status", "lifecycle_status"), "symbol", "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tapemill.functions import display
 from tapemill.operators import datasets, dedup, explore, indicators, indices, planner, quality, registry
-from tapemill.sources import parsers
+from tapemill.sources import files, parsers
 
 BARS = "symbol string, date date, open double, high double, low double, close double, volume bigint"
 
@@ -132,6 +132,11 @@ def test_registry(spark):
     assert (a["company_name"], a["lifecycle_status"], a["previous_symbol"], a["successor_symbol"], a["notes"], a["source"]) == ("New", "suspended", "OLD", "", "seen", "page; manual_override")
     with pytest.raises(ValueError):
         registry.override(base, spark.createDataFrame([("NONE", None, None, None, None, None, None)], schema))
+    small = registry.override(base, spark.createDataFrame([(" active ", "ppl")], "symbol string, successor_symbol string")).where("symbol = 'ACTIVE'").first()
+    assert small["successor_symbol"] == "PPL" and small["source"] == "page; manual_override"
+    for columns, rows in (("symbol string, other string", [("ACTIVE", "x")]), ("symbol string", [("ACTIVE",), ("active ",)]), ("symbol string", [(" ",)]), ("symbol string, official_status_override string", [("ACTIVE", "gone")]), ("notes string", [("x",)])):
+        with pytest.raises(ValueError, match="overrides"):
+            registry.override(base, spark.createDataFrame(rows, columns))
     kinds = [("X", "Some RIGHTS issue", "", "main"), ("ABETF", "x", "", "main"), ("X", "Pref", "s", "gem"), ("X", "x", "s", "gem"), ("X", "A REIT", "s", "main"), ("X", "BRIGHT", "s", "main"), (None, None, None, None)]
     types = [r[0] for r in spark.createDataFrame(kinds, "a string, b string, c string, d string").select(registry.security_type(*map(F.col, "abcd"))).collect()]
     assert types == ["right", "etf", "preference_share", "gem_equity", "other", "ordinary_equity", "ordinary_equity"]
@@ -154,14 +159,47 @@ def test_datasets(spark):
     assert datasets.readiness(bars, reg, features, built.limit(0)).where("symbol = '786'").first()["readiness_status"] == "Missing Processed Dataset"
     split = datasets.chronological_split(spark.createDataFrame([(s, date(2025, 1, 1) + timedelta(i), float(i)) for i in range(20) for s in "ab"], "symbol string, date date, open double"), "master")
     assert {r["split"]: r["rows"] for r in datasets.split_metadata(split).collect()} == {"train": 28, "validation": 6, "test": 6}
-    small = spark.createDataFrame([("train", 0.0, 5.0), ("train", 2.0, 5.0), ("validation", 100.0, 6.0), ("test", 200.0, None)], "split string, open double, flat double")
-    scaled = datasets.scale(small, datasets.fit_scaler(small, ["open", "flat"]), ["open", "flat"]).collect()
-    assert [r["open"] for r in scaled] == [-1.0, 1.0, 99.0, 199.0] and [r["flat"] for r in scaled] == [0.0, 0.0, 1.0, None]
-    assert datasets.non_finite(small, ["open", "flat"]) == 1
+    small = lambda last: spark.createDataFrame([("train", 0.0, 5.0), ("train", 2.0, 5.0), ("validation", 100.0, 6.0), ("test", 200.0, last)], "split string, open double, flat double")
+    scaled = datasets.scale(small(4.0), datasets.fit_scaler(small(4.0), ["open", "flat"]), ["open", "flat"]).collect()
+    assert [r["open"] for r in scaled] == [-1.0, 1.0, 99.0, 199.0] and [r["flat"] for r in scaled] == [0.0, 0.0, 1.0, -1.0]
+    for bad in (None, float("nan"), float("inf")):
+        assert datasets.fit_scaler(small(bad), ["open", "flat"]).first()["non_finite_rows"] == 1
+        with pytest.raises(Exception, match="finite values in every part"):
+            datasets.scale(small(bad), datasets.fit_scaler(small(bad), ["open", "flat"]), ["open", "flat"]).collect()
+    for rows, scope in (([("a", 1), ("a", 2)], "symbol"), ([("a", 1), ("b", 2), ("b", 3)], "symbol")):
+        with pytest.raises(ValueError, match="cannot be split"):
+            datasets.checked_split(spark.createDataFrame([(x, date(2025, 1, d)) for x, d in rows], "symbol string, date date"), scope)
     with pytest.raises(ValueError):
         datasets.chronological_split(split, "master", (0.5, 0.5, 0.5))
 
 
+def test_datasets_with_context_are_kept(spark, tmp_path):
+    """The 44 columns, and every feature scaled."""
+    bars = spark.createDataFrame([(" 786 " if i % 3 else "786", *b[1:]) for i, b in enumerate(ramp("786", 120, 10.0))] + ramp(" BAD", 60, 10.0) + ramp("BAD", 1, 10.0), BARS)
+    reg = spark.createDataFrame([(s, s, True, "recently_traded", "listed", "x", "ordinary_equity", False) for s in ("786", "BAD")], REGISTRY)
+    dates = [r["date"] for r in bars.select("date").distinct().orderBy("date").collect()]
+    series = spark.createDataFrame([(c, d, 100.0 + i, 5, 1.0) for c in indices.INDEX_CODES for i, d in enumerate(dates) if i % 2 == 0], "index_code string, date date, value double, volume bigint, open double")
+    rows = datasets.dataset_rows(datasets.master_dataset(datasets.prepared(bars, reg, indices.context(series), 3)))
+    assert rows.columns == list(datasets.COLUMNS) and len(datasets.COLUMNS) == 44
+    got = {r["date"]: r for r in rows.collect()}
+    assert {r["symbol"] for r in got.values()} == {"786"} and len(got) == 120 - 49  # one series whatever its spelling; the faulty one is out
+    at = dates.index(max(got))
+    assert got[dates[at]]["kse100_value"] == 100.0 + at - at % 2 and got[dates[at]]["market_health_score"] is None
+    exact = datasets.prepared(bars, reg, indices.context(series)).where(F.col("date") == dates[1]).first()
+    assert exact["kse100_value"] is None and exact["sma_20"] is None
+    features = [c for c in indicators.FEATURES if c in datasets.COLUMNS]
+    split = datasets.checked_split(rows, "symbol")
+    kept = datasets.persist_split(split, features, str(tmp_path / "split"))
+    train = kept["scaled"].where("split = 'train'").agg(*[F.avg(c).alias(c) for c in features]).first()
+    assert all(abs(train[c]) < 1e-9 for c in features) and kept["raw"].count() == kept["scaled"].count() == len(got)
+    assert {r["feature"] for r in kept["scaler"].collect()} == set(features) and {r["split"] for r in kept["metadata"].collect()} == {"train", "validation", "test"}
+    with pytest.raises(ValueError, match="no finite numbers"):
+        datasets.persist_split(split.withColumn("obv", F.when(F.col("split") == "test", float("inf")).otherwise(F.col("obv"))), features, str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+    one = indices.single_index(series, "KSE30", "KSE-30").collect()
+    assert [r["date"] for r in one] == dates[::2] and {r["index"] for r in one} == {"KSE-30"}
+
+
 def test_split_sizes_follow_truncation(spark):
     for n in (3, 4, 7, 20, 100, 261):
         train, val = max(1, int(n * 0.7)), max(1, int(n * 0.15))
@@ -206,6 +244,10 @@ def test_planner(spark, tmp_path):
     plan = planner.backfill_plan(days, have, none, date(2026, 8, 1))
     assert {r["date"].day: r["plan"] for r in plan.collect()} == {4: "weekend", 5: "weekend", 6: "existing", 7: "request", 8: "request"}
     assert {r["plan"]: r["minimum_seconds"] for r in planner.plan_totals(plan, 2.0).collect()}["request"] == 2.0
+    told = spark.createDataFrame([(date(2026, 7, 4), "temporary_unavailable"), (date(2026, 7, 6), "failed"), (date(2026, 7, 7), "failed"), (date(2026, 7, 8), "non_trading")], "date date, state string")
+    labels = lambda retry, today=1: sorted((r["date"].day, r["plan"]) for r in planner.backfill_plan(days, have, told, date(2026, 8, today) if today else date(2026, 7, 8), retry).collect())
+    assert labels(False) == [(4, "unresolved"), (4, "weekend"), (5, "weekend"), (6, "existing"), (6, "failed"), (7, "failed"), (8, "non_trading")]
+    assert (7, "request") in labels(True) and (8, "unresolved") in labels(False, None)
     assert planner.missing_dates(days, have).count() == 4
     path, todo = tmp_path / "state.json", [date(2026, 7, d) for d in (6, 7, 8)]
 
@@ -243,6 +285,17 @@ def test_parsers(spark):
     payload = '{"status":1,"data":[[1628338541,102,20,101],[1628252141,100.5,10,99],[1,null],[true,1,2,3],["1628252141",1,2,3],[1628252142.5,1,2,3]]}'
     points = parsers.index_points(spark.createDataFrame([("K", payload), ("L", None)], "index_code string, payload string")).orderBy("position").collect()
     assert [r["reason"] == "" for r in points] == [True, True, False, False, False, False]
+    faults = [("K", '{"status":1,"data":[[-5,1,2,3],[5,1,-2,3]]}'), ("K", '{"status":0,"data":[[5,1,2,3]]}'), ("K", '{"status":1}'), ("Z", payload)]
+    assert sorted(r["reason"] for r in parsers.index_points(spark.createDataFrame(faults, "index_code string, payload string"), codes=["K"]).collect()) == ["no list of data", "status is not 1", "timestamp is negative", "unsupported index", "volume is negative"]
+    head = "<table><thead><tr>" + "".join(f"<th>{h}</th>" for h in ("Symbol", "Name", "Sector", "Clearing Type", "Shares", "Free Float", "Listed In", "Non-Compliance Reason")) + "</tr></thead><tbody>"
+    line = '<tr><td data-search="abc">x</td><td>A REIT fund</td><td>S</td><td>T+2</td><td>1,000</td><td>-</td><td data-search="KSE100,ALL">2</td><td>late</td></tr>'
+    listing = lambda html, segment="dc": parsers.listing_snapshot(spark.createDataFrame([("p", html, "gem", segment, "u")], "page_id string, html string, board string, segment string, source string"), F.lit("2026-07-01 10:00:00").cast("timestamp_ntz"))
+    one = listing(head + line).first()
+    assert (one["symbol"], one["board"], one["listing_segment"], one["official_status"], one["listed_in"], one["shares"], one["free_float"], one["security_type"]) == ("ABC", "GEM", "non_compliant_segment", "non_compliant", "KSE100,ALL", 1000, None, "gem_equity")
+    assert listing(head + line, "normal").columns == list(files.SNAPSHOT) and listing(head + line, "normal").first()["official_status"] == "listed"
+    for bad in (head, head.replace("Sector", "Other") + line, head.replace("Non-Comp", "X") + line, head + line.replace("<td>S</td>", ""), head + line.replace(' data-search="abc">x', "> ")):
+        with pytest.raises(ValueError, match="listing page p"):
+            listing(bad)
     assert (points[0]["date"], points[1]["date"], points[1]["value"]) == (date(2021, 8, 7), date(2021, 8, 6), 100.5)
 
 
