@@ -264,8 +264,9 @@ def select_models(status: DataFrame, search: str = "", types: Sequence[str] = ()
     return out.where("is_newly_added") if newly_added else out
 
 
-#: The bulk selections by name.
+#: The bulk selections by name (F10), from the rows that are in view.
 SELECTORS = {
+    "visible": "true",
     "active_eligible": "is_active and eligible",
     "new_eligible": "is_newly_added and eligible",
     "needs_retraining": "needs_retraining and eligible",

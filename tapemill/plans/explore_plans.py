@@ -7,28 +7,30 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tapemill.functions import display
-from tapemill.operators import datasets, explore, planner, registry
-from tapemill.plans.indicator_plans import BARS, rounded
+from tapemill.operators import datasets, explore, indices, planner, registry
+from tapemill.plans.indicator_plans import DAYS, rounded
+from tapemill.plans.registry_plans import _MODELS, FINAL, merged, models
 from tapemill.sources import parsers
-from tapemill.sources.tables import feed_bars, order_bars, table
+from tapemill.sources.tables import all_bars, series_days, table
 
-START, END, TODAY = date(2026, 6, 1), date(2026, 8, 5), date(2026, 7, 30)
+TODAY = date(2026, 7, 30)
+START, END = date(2025, 11, 1), date(2026, 2, 28)
 
 
 def filter_market(spark, d):
-    return explore.filter_market(order_bars(spark, d), "2-HIGH", date(1995, 1, 1), date(1995, 12, 31))
+    return explore.filter_market(all_bars(spark, d), "MKTX", START, END).select("bar_id", "feed", "date", "close")
 
 
 def security_history(spark, d):
-    return explore.security_history(order_bars(spark, d), " 5-LOW ")
+    return explore.security_history(all_bars(spark, d), " MKTX ").select("bar_id", "feed", "date", "close")
 
 
 def period_filter(spark, d):
-    return explore.history_period(order_bars(spark, d), 6).select("symbol", "date", "close")
+    return explore.history_period(all_bars(spark, d), 6).select("bar_id", "symbol", "date", "close")
 
 
 def dataset_summary(spark, d):
-    return explore.summary(feed_bars(spark, d))
+    return explore.summary(all_bars(spark, d))
 
 
 def null_counts(spark, d):
@@ -36,7 +38,7 @@ def null_counts(spark, d):
 
 
 def history_lengths(spark, d):
-    return explore.history_lengths(feed_bars(spark, d)).select("symbols", rounded("mean"), rounded("deviation"), "least", "p25", "p50", "p75", "greatest")
+    return explore.history_lengths(all_bars(spark, d), ("feed",)).select("symbols", rounded("mean"), rounded("deviation"), "least", "p25", "p50", "p75", "greatest")
 
 
 def option_lists(spark, d):
@@ -44,49 +46,56 @@ def option_lists(spark, d):
 
 
 def newest_first(spark, d):
-    return explore.numbered(order_bars(spark, d).select("symbol", "date", "close"), [F.col("date").desc_nulls_last(), F.col("symbol").asc_nulls_last()])
+    return explore.numbered(all_bars(spark, d).select("bar_id", "symbol", "date", "close"), [F.col("date").desc_nulls_last(), F.col("symbol").asc_nulls_last(), F.col("bar_id")])
 
 
 def sorted_market(spark, d):
-    return explore.numbered(order_bars(spark, d).select("symbol", "date", "close"), [F.col("date").asc_nulls_last(), F.col("symbol").asc_nulls_last()])
+    return explore.numbered(all_bars(spark, d).select("bar_id", "symbol", "date", "close"), [F.col("date").asc_nulls_last(), F.col("symbol").asc_nulls_last(), F.col("bar_id")])
 
 
 def paginate(spark, d):
-    return explore.paginate(order_bars(spark, d).select("symbol", "date", "close"), [F.col("date").desc(), F.col("symbol")], 25, 3)
+    return explore.paginate(all_bars(spark, d).select("bar_id", "symbol", "date", "close"), [F.col("date").desc(), F.col("symbol"), F.col("bar_id")], 25, 3)
 
 
 def latest_row(spark, d):
-    b = order_bars(spark, d)
-    return b.groupBy("symbol").agg(F.max_by(F.struct("date", "open", "close", "volume"), "date").alias("r")).select("symbol", "r.*")
+    b = series_days(spark, d)
+    return b.groupBy("feed", "symbol").agg(F.max_by(F.struct("date", "open", "close", "volume"), "date").alias("r")).select("feed", "symbol", "r.*")
 
 
 def tail_rows(spark, d):
-    return explore.tail(order_bars(spark, d), ["symbol"], [F.col("date").desc()], 20).select("symbol", "date", "close")
+    return explore.tail(series_days(spark, d), ["feed", "symbol"], [F.col("date").desc()], 20).select("feed", "symbol", "date", "close")
 
 
 def union_all(spark, d):
-    b = order_bars(spark, d)
-    return b.where("volume > 3").select("symbol", "date").unionByName(b.where("close > 300000").select("date", "symbol"))
+    b = all_bars(spark, d)
+    return b.where("volume = 0").select("bar_id", "symbol").unionByName(b.where("change = 0").select("symbol", "bar_id"))
 
 
 def except_dates(spark, d):
-    b = order_bars(spark, d)
-    return b.select("date").subtract(b.where("symbol = '1-URGENT'").select("date"))
+    """Dates with bars on which the exchange was not open."""
+    return all_bars(spark, d).select("date").subtract(table(spark, d, "trading_calendar").where("is_open").select("date"))
 
 
 def intersect_dates(spark, d):
-    b = order_bars(spark, d)
-    return b.where("symbol = '1-URGENT'").select("date").intersect(b.where("symbol = '5-LOW'").select("date"))
+    """Dates on which the heaviest symbol and some other were traded."""
+    b = all_bars(spark, d)
+    return b.where("symbol = 'MKTX'").select("date").intersect(b.where("symbol <> 'MKTX'").select("date"))
+
+
+def _days(spark, d):
+    """Every day of the calendar's span."""
+    first, last = table(spark, d, "trading_calendar").agg(F.min("date"), F.max("date")).first()
+    return planner.calendar(spark, first, last)
 
 
 def missing_dates(spark, d):
-    return planner.missing_dates(planner.calendar(spark, START, END), table(spark, d, "market_bars"))
+    return planner.missing_dates(_days(spark, d), table(spark, d, "market_bars"))
 
 
 def _states(spark, d):
     f = table(spark, d, "fetch_results")
-    events = f.select(F.col("trading_date").alias("date"), F.col("source_file").alias("at"), F.when(F.col("status") == "successful", "successful").otherwise("failed").alias("state"))
-    return planner.latest_states(events)
+    state = F.when(F.col("status") == "successful", "successful").when(F.col("status").isNull(), "temporary_unavailable").otherwise("failed")
+    return planner.latest_states(f.select(F.col("trading_date").alias("date"), F.col("source_file").alias("at"), state.alias("state")))
 
 
 def state_transition(spark, d):
@@ -94,9 +103,7 @@ def state_transition(spark, d):
 
 
 def backfill_plan(spark, d):
-    # The week before today is left out of the store, so that dates remain to be asked for.
-    store = table(spark, d, "market_bars").where("date < '2026-07-20'")
-    return planner.backfill_plan(planner.calendar(spark, START, END), store, _states(spark, d), TODAY)
+    return planner.backfill_plan(_days(spark, d), table(spark, d, "market_bars"), _states(spark, d), TODAY)
 
 
 def backfill_totals(spark, d):
@@ -104,7 +111,7 @@ def backfill_totals(spark, d):
 
 
 def empty_response_class(spark, d):
-    return planner.calendar(spark, START, END).select("date", planner.empty_response(F.col("date"), F.lit(TODAY)).alias("state"))
+    return _days(spark, d).select("date", planner.empty_response(F.col("date"), F.lit(TODAY)).alias("state"))
 
 
 def calendar_days(spark, d):
@@ -137,28 +144,48 @@ def volume_abbrev(spark, d):
 
 
 def display_numbers(spark, d):
-    """Display forms whose rounding differs between engines; rows only."""
+    """Display forms of prices, moves and times."""
     b = table(spark, d, "market_bars")
     return b.select("bar_id", display.price(F.col("close")).alias("price"), display.directional(F.col("change_percent")).alias("move"), display.instant(F.col("ingested_at")).alias("at"))
 
 
+def display_times(spark, d):
+    """Times with offsets, in the exchange's zone."""
+    return table(spark, d, "registry_updates").select("update_id", display.instant_text(F.col("registry_updated_at")).alias("at"))
+
+
+def display_summary(spark, d):
+    """The company summary under its display names."""
+    summary = registry.company_summary(all_bars(spark, d), merged(spark, d), "bar_id", ("feed",))
+    rows = summary.join(merged(spark, d).select("symbol", "activity_status"), "symbol", "left").withColumnsRenamed({"first_date": "first_seen_date", "last_date": "last_seen_date"})
+    return display.company_table(rows, "feed")
+
+
+def display_models(spark, d):
+    """The model records under their display names."""
+    m = models(spark, d).withColumns({"last_trained_at": F.lit(None).cast("timestamp_ntz"), "training_data_start": F.lit(None).cast("date"), "new_data_days": F.col("model_version") % 7, "needs_retraining": (F.col("model_id") % 3 == 0).cast("string")})
+    return display.model_table(m, "model_id")
+
+
 def model_ids(spark, d):
     b = table(spark, d, "dataset_builds")
     return b.select("build_id", datasets.model_id(F.lit("symbol"), F.trim("symbol"), F.col("output_rows")).alias("model_id"))
 
 
 def json_observations(spark, d):
-    """Index payloads made from the observations, parsed back."""
-    o = table(spark, d, "index_observations").where("value is not null and volume is not null and open is not null")
-    point = F.format_string("[%d,%s,%d,%s]", "timestamp", F.col("value").cast("decimal(18,4)").cast("string"), "volume", F.col("open").cast("decimal(18,4)").cast("string"))
+    """Index payloads made from the observations, nulls included, parsed back."""
+    o = table(spark, d, "index_observations")
+    number = lambda c: F.coalesce(F.col(c).cast("decimal(18,4)").cast("string"), F.lit("null"))
+    whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    point = F.format_string("[%s,%s,%s,%s]", whole("timestamp"), number("value"), whole("volume"), number("open"))
     payload = o.groupBy("index_code", "date").agg(F.format_string('{"status":1,"data":[%s]}', F.array_join(F.sort_array(F.collect_list(point)), ",")).alias("payload"))
-    got = parsers.index_points(payload.select("index_code", "payload"))
+    got = parsers.index_points(payload.select("index_code", "payload"), codes=indices.INDEX_CODES)
     return got.select("index_code", "timestamp", "date", rounded("value"), "volume", rounded("open"), "reason")
 
 
 def html_cells(spark, d):
-    """Market pages made from the official bars of the last days, parsed back."""
-    return parsed_pages(feed_bars(spark, d).where("date >= '2026-07-20'"), ["date", "load_id"])
+    """Market pages made from all bars, one for each date, load and feed, parsed back."""
+    return parsed_pages(all_bars(spark, d), ["date", "load_id", "feed"])
 
 
 def parsed_pages(b, keys):
@@ -170,12 +197,14 @@ def parsed_pages(b, keys):
     return got.select("page_id", "date", "symbol", rounded("ldcp"), rounded("close"), "volume", "reason")
 
 
-QUERIES = {f.__name__: f for f in (filter_market, security_history, period_filter, dataset_summary, null_counts, history_lengths, option_lists, newest_first, sorted_market, paginate, latest_row, tail_rows, union_all, except_dates, intersect_dates, missing_dates, state_transition, backfill_plan, backfill_totals, empty_response_class, calendar_days, security_type_inference, normalize_text, symbol_labels, enum_humanize, volume_abbrev, display_numbers, model_ids, json_observations, html_cells)}
+QUERIES = {f.__name__: f for f in (filter_market, security_history, period_filter, dataset_summary, null_counts, history_lengths, option_lists, newest_first, sorted_market, paginate, latest_row, tail_rows, union_all, except_dates, intersect_dates, missing_dates, state_transition, backfill_plan, backfill_totals, empty_response_class, calendar_days, security_type_inference, normalize_text, symbol_labels, enum_humanize, volume_abbrev, display_numbers, display_times, display_summary, display_models, model_ids, json_observations, html_cells)}
 
-_B = f"with {BARS}"
-_DAYS = f"days as (select unnest(generate_series(date '{START}', date '{END}', interval 1 day))::date as date)"
-_STATES = "states as (select trading_date as date, arg_max(case when status = 'successful' then 'successful' else 'failed' end, source_file) as state, count(*) as attempts from fetch_results group by 1)"
-_PLAN = f"{_DAYS}, {_STATES}, plan as (select d.date, case when d.date in (select date from market_bars where date < '2026-07-20') then 'existing' when isodow(d.date) >= 6 then 'weekend' when d.date >= date '{TODAY}' then 'unresolved' when s.state = 'non_trading' then 'non_trading' when s.state = 'failed' then 'failed' else 'request' end as plan from days d left join states s using (date))"
+_ALL = "with bars as (select * replace (upper(trim(symbol)) as symbol) from market_bars)"
+_DAYS = "days as (select unnest(generate_series((select min(date) from trading_calendar)::timestamp, (select max(date) from trading_calendar)::timestamp, interval 1 day))::date as date)"
+_STATES = "states as (select trading_date as date, arg_max(case when status = 'successful' then 'successful' when status is null then 'temporary_unavailable' else 'failed' end, source_file) as state, count(*) as attempts from fetch_results group by 1)"
+_PLAN = f"""{_DAYS}, {_STATES}, seen as (select d.date, d.date in (select date from market_bars where date is not null) as there, isodow(d.date) >= 6 as weekend, d.date >= date '{TODAY}' as late, coalesce(s.state, '') as state from days d left join states s using (date)),
+plan as (select date, 'existing' as plan from seen where there union all select date, 'weekend' from seen where weekend union all select date, 'unresolved' from seen where not there and (state = 'temporary_unavailable' or (not weekend and late))
+  union all select date, 'non_trading' from seen where state = 'non_trading' union all select date, 'failed' from seen where state = 'failed' union all select date, 'request' from seen where not there and not weekend and not late and state not in ('non_trading', 'failed'))"""
 _TOLD = "upper(concat_ws(' ', coalesce(company_name, ''), coalesce(sector, '')))"
 _MISS = "coalesce(lower(trim({0})) in ('', 'nan', 'nat', 'none', 'null'), true)"
 _KEY = "lower(trim({0}))"
@@ -189,21 +218,21 @@ def _human(c: str) -> str:
 
 _BADGE = " ".join(f"when lower(trim(official_status)) in ({', '.join(map(repr, names))}) then '{colour}'" for colour, names in display.BADGES.items())
 SQL = {
-    "filter_market": f"{_B} select * from bars where symbol = '2-HIGH' and date between '1995-01-01' and '1995-12-31'",
-    "security_history": f"{_B} select * from bars where symbol = '5-LOW'",
-    "period_filter": f"{_B} select symbol, date, close from bars where date >= (select max(date) from bars) - interval 6 month",
-    "dataset_summary": "select count(distinct date) as trading_days, count(distinct upper(trim(symbol))) as symbols, count(*) as rows, min(date) as first_date, max(date) as last_date from market_bars where feed = 'official'",
+    "filter_market": f"{_ALL} select bar_id, feed, date, close from bars where symbol = 'MKTX' and date between '{START}' and '{END}'",
+    "security_history": f"{_ALL} select bar_id, feed, date, close from bars where symbol = 'MKTX'",
+    "period_filter": f"{_ALL} select bar_id, symbol, date, close from bars where date >= (select max(date) from bars) - interval 6 month",
+    "dataset_summary": "select count(distinct date) as trading_days, count(distinct upper(trim(symbol))) as symbols, count(*) as rows, min(date) as first_date, max(date) as last_date from market_bars",
     "null_counts": " union all ".join(f"select '{c}' as column_name, count(*) - count({c}) as nulls from market_bars" for c in ("bar_id", "symbol", "feed", "date", "ldcp", "open", "high", "low", "close", "change", "change_percent", "volume", "load_id", "ingested_at")),
-    "history_lengths": "with n as (select count(*) as n from market_bars where feed = 'official' group by upper(trim(symbol))) select count(*) as symbols, round(avg(n), 6) as mean, round(stddev_samp(n), 6) as deviation, min(n) as least, quantile_cont(n, 0.25)::double as p25, quantile_cont(n, 0.5)::double as p50, quantile_cont(n, 0.75)::double as p75, max(n) as greatest from n",
+    "history_lengths": "with n as (select count(*) as n from market_bars group by feed, upper(trim(symbol))) select count(*) as symbols, round(avg(n), 6) as mean, round(stddev_samp(n), 6) as deviation, min(n) as least, quantile_cont(n, 0.25)::double as p25, quantile_cont(n, 0.5)::double as p50, quantile_cont(n, 0.75)::double as p75, max(n) as greatest from n",
     "option_lists": "select distinct trim(sector) as sector from registry_updates where trim(sector) <> ''",
-    "newest_first": f"{_B} select symbol, date, close, row_number() over (order by date desc nulls last, symbol nulls last) as row from bars",
-    "sorted_market": f"{_B} select symbol, date, close, row_number() over (order by date nulls last, symbol nulls last) as row from bars",
-    "paginate": f"{_B} select symbol, date, close from bars order by date desc, symbol limit 25 offset 50",
-    "latest_row": f"{_B} select symbol, date, open, close, volume from bars qualify row_number() over (partition by symbol order by date desc) = 1",
-    "tail_rows": f"{_B} select symbol, date, close from bars qualify row_number() over (partition by symbol order by date desc) <= 20",
-    "union_all": f"{_B} select symbol, date from bars where volume > 3 union all select symbol, date from bars where close > 300000",
-    "except_dates": f"{_B} select date from bars except select date from bars where symbol = '1-URGENT'",
-    "intersect_dates": f"{_B} select date from bars where symbol = '1-URGENT' intersect select date from bars where symbol = '5-LOW'",
+    "newest_first": f"{_ALL} select bar_id, symbol, date, close, row_number() over (order by date desc nulls last, symbol nulls last, bar_id) as row from bars",
+    "sorted_market": f"{_ALL} select bar_id, symbol, date, close, row_number() over (order by date nulls last, symbol nulls last, bar_id) as row from bars",
+    "paginate": f"{_ALL} select bar_id, symbol, date, close from bars order by date desc nulls last, symbol, bar_id limit 25 offset 50",
+    "latest_row": f"with {DAYS} select feed, symbol, date, open, close, volume from force qualify row_number() over (partition by feed, symbol order by date desc) = 1",
+    "tail_rows": f"with {DAYS} select feed, symbol, date, close from force qualify row_number() over (partition by feed, symbol order by date desc) <= 20",
+    "union_all": f"{_ALL} select bar_id, symbol from bars where volume = 0 union all select bar_id, symbol from bars where change = 0",
+    "except_dates": "select date from market_bars except select date from trading_calendar where is_open",
+    "intersect_dates": f"{_ALL} select date from bars where symbol = 'MKTX' intersect select date from bars where symbol <> 'MKTX'",
     "missing_dates": f"with {_DAYS} select date from days where date not in (select date from market_bars where date is not null)",
     "state_transition": f"with {_STATES} select * from states",
     "backfill_plan": f"with {_PLAN} select date, plan from plan",
@@ -217,8 +246,18 @@ SQL = {
     "symbol_labels": f"select update_id, case when not {_MISS.format('symbol')} and not {_MISS.format('company_name')} then trim(company_name) || ' (' || trim(symbol) || ')' when not {_MISS.format('company_name')} then trim(company_name) when not {_MISS.format('symbol')} then trim(symbol) else '—' end as label from registry_updates",
     "enum_humanize": f"select update_id, {_human('lifecycle_status')} as lifecycle, case {_BADGE} else 'gray' end as badge, {_human('source')} as source from registry_updates",
     "volume_abbrev": "select bar_id, case when volume is null then '—' when abs(volume) >= 1e12 then printf('%.1fT', round_even(volume / 1e12, 1)) when abs(volume) >= 1e9 then printf('%.1fB', round_even(volume / 1e9, 1)) when abs(volume) >= 1e6 then printf('%.1fM', round_even(volume / 1e6, 1)) when abs(volume) >= 1e3 then printf('%.1fK', round_even(volume / 1e3, 1)) else volume::varchar end as volume, coalesce(strftime(date, '%d %b %Y'), '—') as day, coalesce(format('{:,}', volume), '—') as whole from market_bars",
+    "display_numbers": """select bar_id, case when close is null then '—' else 'PKR ' || format('{:,.2f}', round_even(close, 2)) end as price, case when change_percent is null then '—' else case when change_percent > 0 then '▲ +' when change_percent < 0 then '▼ ' else '● ' end || format('{:,.2f}', round_even(change_percent, 2) + 0.0) || '%' end as move,
+      coalesce(strftime(ingested_at, '%d %b %Y, %-I:%M %p PKT'), '—') as at from market_bars""",
+    "display_times": "select update_id, coalesce(strftime(try_cast(trim(registry_updated_at) as timestamptz) at time zone 'Asia/Karachi', '%d %b %Y, %-I:%M %p PKT'), '—') as at from registry_updates",
+    "display_summary": f"""with {FINAL}, per as (select feed, upper(trim(symbol)) as symbol, min(date) as lo, max(date) as hi, count(distinct date) as n from market_bars where date is not null and trim(symbol) <> '' group by 1, 2), last as (select feed, upper(trim(symbol)) as symbol, close from market_bars where date is not null qualify row_number() over (partition by feed, upper(trim(symbol)) order by date desc, bar_id desc) = 1)
+      select p.feed, case when {_MISS.format('p.symbol')} then '—' else p.symbol end as "Symbol", case when {_MISS.format('company_name')} then '—' else trim(company_name) end as "Company Name", {_human('security_type')} as "Security Type", case when {_MISS.format('sector')} then '—' else trim(sector) end as "Sector", {_human('official_status')} as "Official Status", {_human('activity_status')} as "Trading Activity",
+      {_human('lifecycle_status')} as "Lifecycle Status", lo as "First Seen", hi as "Last Seen", n as "Trading Days", close as "Latest Close" from per p left join last using (feed, symbol) left join final f on f.symbol = p.symbol""",
+    "display_models": f"""with {_MODELS} select model_id, {_human('model_scope')} as "Model scope", case when {_MISS.format('symbol')} then 'Master model' else trim(symbol) end as "Symbol", coalesce(format('{{:,}}', model_version), '—') as "Version", {_human('model_status')} as "Model status", '—' as "Last trained", '—' as "Training start",
+      coalesce(strftime(training_data_end, '%d %b %Y'), '—') as "Training end", coalesce(format('{{:,}}', model_version % 7), '—') as "New trading days", case when model_id % 3 = 0 then 'Recommended' else 'Not needed' end as "Retraining recommendation" from models""",
     "model_ids": "select build_id, 'ppo-symbol-' || regexp_replace(trim(symbol), '[^A-Za-z0-9._-]+', '_', 'g') || '-v' || lpad(output_rows::varchar, greatest(4, length(output_rows::varchar))::int, '0') as model_id from dataset_builds",
-    "json_observations": "select index_code, timestamp, ((to_timestamp(timestamp) at time zone 'Asia/Karachi'))::date as date, round(value, 6) as value, volume, round(open, 6) as open, '' as reason from index_observations where value is not null and volume is not null and open is not null",
-    "html_cells": """select date::varchar || '/' || load_id as page_id, date, upper(trim(symbol)) as symbol, round(ldcp, 6) as ldcp, round(close, 6) as close, volume, case when ldcp is null then 'ldcp is empty' when open is null then 'open is empty' when high is null then 'high is empty' when low is null then 'low is empty' when close is null then 'close is empty'
-      when change is null then 'change is empty' when change_percent is null then 'change_percent is empty' when volume is null then 'volume is empty' else '' end as reason from market_bars where feed = 'official' and date >= '2026-07-20'""",
+    "json_observations": """select index_code, case when value is not null and volume is not null and open is not null then timestamp end as timestamp, case when value is not null and volume is not null and open is not null then (to_timestamp(timestamp) at time zone 'Asia/Karachi')::date end as date,
+      case when volume is not null and open is not null then round(value, 6) end as value, case when value is not null and open is not null then volume end as volume, case when value is not null and volume is not null then round(open, 6) end as open,
+      case when value is null or volume is null or open is null or timestamp is null then 'expected 4 numbers' when volume < 0 then 'volume is negative' else '' end as reason from index_observations""",
+    "html_cells": """select date::varchar || '/' || load_id || '/' || feed as page_id, date, upper(trim(symbol)) as symbol, round(ldcp, 6) as ldcp, round(close, 6) as close, volume, case when ldcp is null then 'ldcp is empty' when open is null then 'open is empty' when high is null then 'high is empty' when low is null then 'low is empty' when close is null then 'close is empty'
+      when change is null then 'change is empty' when change_percent is null then 'change_percent is empty' when volume is null then 'volume is empty' else '' end as reason from market_bars""",
 }

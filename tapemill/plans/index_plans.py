@@ -1,4 +1,4 @@
-"""Queries of indices, breadth and health, over index observations and the official feed, with their SQL."""
+"""Queries of indices, breadth and health, over index observations and the readings of all feeds, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapemill.operators import indices
-from tapemill.operators.dedup import keep_last
 from tapemill.plans.indicator_plans import rounded
-from tapemill.sources.tables import feed_bars, index_series, table
+from tapemill.sources.tables import index_series, series_days, table
 
 SERIES = """
 series as (select index_code, date, value, volume, open from index_observations where date is not null qualify row_number() over (partition by index_code, date order by fetched_at desc nulls last, timestamp desc nulls last) = 1)"""
 CHANGES = """
-day as (select upper(trim(symbol)) as symbol, date, change, volume from market_bars where feed = 'official' qualify row_number() over (partition by upper(trim(symbol)), date order by ingested_at desc, bar_id desc) = 1)"""
+day as (select feed, upper(trim(symbol)) as symbol, date, change, volume from market_bars where date is not null qualify row_number() over (partition by feed, upper(trim(symbol)), date order by ingested_at desc nulls last, bar_id desc) = 1)"""
 CONTEXT = f"""
 {SERIES},
 moved as (select *, value / nullif(lag(value) over w, 0) - 1 as r1, value / nullif(lag(value, 5) over w, 0) - 1 as r5 from series window w as (partition by index_code order by date)),
@@ -39,9 +38,10 @@ metrics as (
 BREADTH = f"""
 {CHANGES},
 usable as (select * from day where symbol is not null and date is not null and change is not null and volume is not null),
+latest as (select feed, max(date) as latest from usable group by 1),
 breadth as (
-  select max(date) as reference_date, count(*) as universe_size, count(*) filter (where change > 0) as advancing, count(*) filter (where change < 0) as declining, count(*) filter (where change = 0) as unchanged, sum(greatest(volume, 0))::double as total_volume
-  from usable where date = (select max(date) from usable) RESTRICT)"""
+  select feed, max(date) as reference_date, count(*) as universe_size, count(*) filter (where change > 0) as advancing, count(*) filter (where change < 0) as declining, count(*) filter (where change = 0) as unchanged, sum(greatest(volume, 0))::double as total_volume
+  from usable join latest using (feed) where date = latest RESTRICT group by 1)"""
 SHARES = "case when declining > 0 then advancing / declining when advancing > 0 then 'inf'::double end as advance_decline_ratio, advancing * 100.0 / universe_size as advancing_percent, declining * 100.0 / universe_size as declining_percent, unchanged * 100.0 / universe_size as unchanged_percent"
 _c = lambda x: f"case when {x} is not null then greatest(0, least(1, {x})) end"
 _POINTS = {
@@ -64,7 +64,7 @@ def _score(points: dict[str, str], weights: dict[str, int]) -> str:
 
 
 def _equity_day(spark: SparkSession, d: str) -> DataFrame:
-    return keep_last(feed_bars(spark, d), ["symbol", "date"], ["ingested_at", "bar_id"]).select("symbol", "date", "change", "volume")
+    return series_days(spark, d).select("feed", "symbol", "date", "change", "volume")
 
 
 def _universe(spark: SparkSession, d: str) -> DataFrame:
@@ -123,27 +123,31 @@ def index_health_period(spark, d):
 
 
 def health_comparison(spark, d):
-    return indices.health_comparison(indices.index_health(indices.metrics(index_series(spark, d).where("index_code <> 'KMI30'")))).select("index_code", "label", "observation_count")
+    return indices.health_comparison(indices.index_health(indices.metrics(index_series(spark, d)))).select("index_code", "label", "observation_count")
 
 
 _BREADTH = ("universe_size", "advancing", "declining", "unchanged", "total_volume")
 _SHARES = ("advance_decline_ratio", "advancing_percent", "declining_percent", "unchanged_percent")
 
 
+_FEED = ("feed",)
+
+
 def market_breadth(spark, d):
-    return indices.breadth(_equity_day(spark, d)).select("reference_date", *_BREADTH, *[rounded(c) for c in _SHARES])
+    """Of each feed on its own latest date."""
+    return indices.breadth(_equity_day(spark, d), by=_FEED).select("feed", "reference_date", *_BREADTH, *[rounded(c) for c in _SHARES])
 
 
 def breadth_restricted(spark, d):
-    return indices.breadth(_equity_day(spark, d), _universe(spark, d)).select("reference_date", *_BREADTH)
+    return indices.breadth(_equity_day(spark, d), _universe(spark, d), by=_FEED).select("feed", "reference_date", *_BREADTH)
 
 
 def market_breadth_by_date(spark, d):
-    return indices.breadth(_equity_day(spark, d), by_date=True).select("reference_date", *_BREADTH, *[rounded(c) for c in _SHARES])
+    return indices.breadth(_equity_day(spark, d), by_date=True, by=_FEED).select("feed", "reference_date", *_BREADTH, *[rounded(c) for c in _SHARES])
 
 
 def market_health(spark, d):
-    return indices.market_health(indices.metrics(index_series(spark, d)), indices.breadth(_equity_day(spark, d))).select("score", "label", "available_weight", "reference_date")
+    return indices.market_health(indices.metrics(index_series(spark, d)), indices.breadth(_equity_day(spark, d), by=_FEED), _FEED).select("feed", "score", "label", "available_weight", "reference_date")
 
 
 def period_summary(spark, d):
@@ -151,12 +155,15 @@ def period_summary(spark, d):
 
 
 def context_exact_join(spark, d):
-    return indices.join_context(_equity_day(spark, d), indices.context(index_series(spark, d))).select("symbol", "date", rounded("kse100_value"), rounded("kse100_return_1d"), rounded("allshr_value"))
+    return indices.join_context(_equity_day(spark, d), indices.context(index_series(spark, d))).select("feed", "symbol", "date", rounded("kse100_value"), rounded("kse100_return_1d"), rounded("allshr_value"))
 
 
 def context_asof_join(spark, d):
-    sparse = indices.context(index_series(spark, d).where("dayofweek(date) in (2, 4)"))
-    return indices.join_context(_equity_day(spark, d), sparse, 3).select("symbol", "date", "context_date", rounded("kse100_value"), rounded("allshr_value"))
+    return indices.join_context(_equity_day(spark, d), indices.context(index_series(spark, d)), 3).select("feed", "symbol", "date", "context_date", rounded("kse100_value"), rounded("allshr_value"))
+
+
+def single_index(spark, d):
+    return indices.single_index(indices.range_filter(index_series(spark, d), "1Y"), "KSE100", "KSE-100")
 
 
 def _r(*columns: str) -> str:
@@ -165,11 +172,11 @@ def _r(*columns: str) -> str:
 
 _ORDINARY = "and symbol in (select upper(trim(symbol)) from registry_updates where security_type = 'ordinary_equity')"
 _PICK = BREADTH.replace("RESTRICT", "")
-QUERIES = {f.__name__: f for f in (index_upsert, index_change, index_range_filter, index_ytd_filter, normalized_performance, index_context_wide, index_metrics, index_returns_ladder, index_volatility, index_health, index_health_period, health_comparison, market_breadth, breadth_restricted, market_breadth_by_date, market_health, period_summary, context_exact_join, context_asof_join)}
+QUERIES = {f.__name__: f for f in (index_upsert, index_change, index_range_filter, index_ytd_filter, normalized_performance, index_context_wide, index_metrics, index_returns_ladder, index_volatility, index_health, index_health_period, health_comparison, market_breadth, breadth_restricted, market_breadth_by_date, market_health, period_summary, context_exact_join, context_asof_join, single_index)}
 _INDEX_SCORE = _score(_POINTS, indices.INDEX_WEIGHTS)
 _MARKET_POINTS = {
-    "KSE100 trend": "t1", "KSE30 trend": "t2", "KMI30 trend": "t3", "All Share trend": "t4", "Advance/decline ratio": "least(1, advance_decline_ratio / 2)", "Advancing securities": "least(1, advancing_percent / 70)",
-    "Volume participation": "least(1, vol)", "Moving-average position": "above", "Volatility penalty": "greatest(0, 1 - dev / 50)",
+    "KSE100 trend": "t1", "KSE30 trend": "t2", "KMI30 trend": "t3", "All Share trend": "t4", "Advance/decline ratio": "case when advance_decline_ratio is not null then least(1, advance_decline_ratio / 2) end", "Advancing securities": "case when advancing_percent is not null then least(1, advancing_percent / 70) end",
+    "Volume participation": "case when vol is not null then least(1, vol) end", "Moving-average position": "above", "Volatility penalty": "case when dev is not null then greatest(0, 1 - dev / 50) end",
 }
 _trend = lambda code: _c(f"0.5 + max(one_month_return) filter (where index_code = '{code}') / 20")
 SQL = {
@@ -184,12 +191,13 @@ SQL = {
     "index_volatility": f"with {METRICS} select index_code, {_r('rolling_volatility_20', 'versus_ma_20_percent', 'versus_ma_50_percent')} from metrics",
     "index_health": f"with {METRICS}, scored as (select index_code, {_INDEX_SCORE} from metrics) select index_code, score, {_LABEL}, available_weight from scored",
     "index_health_period": f"with {METRICS.replace('from series where value', 'from series where date >= (select max(date) from series) - interval 1 month and value')}, scored as (select index_code, {_INDEX_SCORE}, {' + '.join(f'case when ({p}) is null then 1 else 0 end' for p in _POINTS.values())} as unavailable from metrics) select index_code, {_LABEL}, available_weight, round_even(available_weight::double, 1) as coverage_percentage, unavailable from scored",
-    "health_comparison": f"with {METRICS}, scored as (select index_code, {_INDEX_SCORE}, observations from metrics where index_code <> 'KMI30'), known(index_code) as (values ('KSE100'), ('KSE30'), ('KMI30'), ('ALLSHR')) select index_code, {_LABEL}, coalesce(observations, 0) as observation_count from known left join scored using (index_code)",
-    "market_breadth": f"with {_PICK} select reference_date, {', '.join(_BREADTH)}, {', '.join(f'round({c}, 6) as {c}' for c in _SHARES)} from (select *, {SHARES} from breadth)",
-    "breadth_restricted": f"with {BREADTH.replace('RESTRICT', _ORDINARY)} select reference_date, {', '.join(_BREADTH)} from breadth",
-    "market_breadth_by_date": f"with {_PICK}, per as (select date as reference_date, count(*) as universe_size, count(*) filter (where change > 0) as advancing, count(*) filter (where change < 0) as declining, count(*) filter (where change = 0) as unchanged, sum(greatest(volume, 0))::double as total_volume from usable group by 1) select reference_date, {', '.join(_BREADTH)}, {', '.join(f'round({c}, 6) as {c}' for c in _SHARES)} from (select *, {SHARES} from per)",
-    "market_health": f"with {METRICS}, {_PICK}, one as (select {_trend('KSE100')} as t1, {_trend('KSE30')} as t2, {_trend('KMI30')} as t3, {_trend('ALLSHR')} as t4, avg(latest_volume / nullif(average_volume_20, 0)) as vol, avg(case when versus_ma_20_percent > 0 then 1.0 when versus_ma_20_percent is not null then 0.0 end) as above, avg(rolling_volatility_20) as dev from metrics), scored as (select {_score(_MARKET_POINTS, indices.MARKET_WEIGHTS)}, reference_date from one, (select *, {SHARES} from breadth)) select score, {_LABEL}, available_weight, reference_date from scored",
+    "health_comparison": f"with {METRICS}, scored as (select index_code, {_INDEX_SCORE}, observations from metrics), known(index_code) as (values ('KSE100'), ('KSE30'), ('KMI30'), ('ALLSHR')) select index_code, {_LABEL}, coalesce(observations, 0) as observation_count from known left join scored using (index_code)",
+    "market_breadth": f"with {_PICK} select feed, reference_date, {', '.join(_BREADTH)}, {', '.join(f'round({c}, 6) as {c}' for c in _SHARES)} from (select *, {SHARES} from breadth)",
+    "breadth_restricted": f"with {BREADTH.replace('RESTRICT', _ORDINARY)} select feed, reference_date, {', '.join(_BREADTH)} from breadth",
+    "market_breadth_by_date": f"with {_PICK}, per as (select feed, date as reference_date, count(*) as universe_size, count(*) filter (where change > 0) as advancing, count(*) filter (where change < 0) as declining, count(*) filter (where change = 0) as unchanged, sum(greatest(volume, 0))::double as total_volume from usable group by 1, 2) select feed, reference_date, {', '.join(_BREADTH)}, {', '.join(f'round({c}, 6) as {c}' for c in _SHARES)} from (select *, {SHARES} from per)",
+    "market_health": f"with {METRICS}, {_PICK}, one as (select {_trend('KSE100')} as t1, {_trend('KSE30')} as t2, {_trend('KMI30')} as t3, {_trend('ALLSHR')} as t4, avg(latest_volume / nullif(average_volume_20, 0)) as vol, avg(case when versus_ma_20_percent > 0 then 1.0 when versus_ma_20_percent is not null then 0.0 end) as above, avg(rolling_volatility_20) as dev from metrics), scored as (select {_score(_MARKET_POINTS, indices.MARKET_WEIGHTS)}, feed, reference_date from one, (select *, {SHARES} from breadth)) select feed, score, {_LABEL}, available_weight, reference_date from scored",
     "period_summary": f"with {SERIES}, part as (select * from series where date >= (select max(date) from series) - interval 3 month) select index_code, arg_min(value, date) as first, arg_max(value, date) as latest, max(value) as high, min(value) as low, count(distinct date) as days, sum(volume)::bigint as total_volume, round((arg_max(value, date) / arg_min(value, date) - 1) * 100, 6) as period_return from part group by 1",
-    "context_exact_join": f"with {CONTEXT}, {CHANGES} select symbol, date, {_r('kse100_value', 'kse100_return_1d', 'allshr_value')} from day left join context using (date)",
-    "context_asof_join": f"with {CONTEXT.replace('series as (select', 'series as (select * from (select', 1).replace(' = 1)', ' = 1) where dayofweek(date) in (1, 3))', 1)}, {CHANGES} select symbol, d.date, case when d.date - c.date <= 3 then c.date end as context_date, case when d.date - c.date <= 3 then round(kse100_value, 6) end as kse100_value, case when d.date - c.date <= 3 then round(allshr_value, 6) end as allshr_value from day d asof left join context c on d.date >= c.date",
+    "context_exact_join": f"with {CONTEXT}, {CHANGES} select feed, symbol, date, {_r('kse100_value', 'kse100_return_1d', 'allshr_value')} from day left join context using (date)",
+    "context_asof_join": f"with {CONTEXT}, {CHANGES} select feed, symbol, d.date, case when d.date - c.date <= 3 then c.date end as context_date, case when d.date - c.date <= 3 then round(kse100_value, 6) end as kse100_value, case when d.date - c.date <= 3 then round(allshr_value, 6) end as allshr_value from day d asof left join context c on d.date >= c.date",
+    "single_index": f"with {SERIES} select date, 'KSE-100' as index, value from series where index_code = 'KSE100' and date >= (select max(date) from series) - interval 1 year and value is not null",
 }

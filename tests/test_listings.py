@@ -25,21 +25,21 @@ def tables(spark, tmp_path_factory):
 
 def test_every_listing_is_merged(spark, tables):
     q = registry.queries()
-    got = {r["symbol"]: r for r in q["registry_outer_merge_whole"](spark, tables).collect()}
+    got = {r["symbol"]: r for r in q["registry_outer_merge"](spark, tables).collect()}
     assert set(got) == {"SIXSIX", "HOT", "AB", "LISTED", "LI", "TRADED"}
     assert {s for s, r in got.items() if r["officially_listed"]} == {"SIXSIX", "HOT", "AB", "LISTED", "LI"}
     assert {s for s, r in got.items() if not r["trading_days"]} == {"LISTED", "LI"}
     assert got["TRADED"]["official_status"] == "historical" and got["SIXSIX"]["trading_days"] == 2
-    counts = q["registry_counts_whole"](spark, tables).first()
+    counts = q["registry_counts"](spark, tables).first()
     assert (counts["total"], counts["listed"], counts["listed_idle"], counts["ordinary_equity"]) == (6, 5, 2, 5)
-    assert {r["symbol"] for r in q["company_summary_whole"](spark, tables).where("company_name = 'sixsix'").collect()} == {"SIXSIX"}
-    restricted = {(r["feed"], r["symbol"]): r["rows"] for r in q["semi_restrict_whole"](spark, tables).collect()}
+    assert {r["symbol"] for r in q["company_summary"](spark, tables).where("company_name = 'sixsix'").collect()} == {"SIXSIX"}
+    restricted = {(r["feed"], r["symbol"]): r["rows"] for r in q["semi_restrict"](spark, tables).collect()}
     assert restricted == {("official", "SIXSIX"): 1, ("desk", "SIXSIX"): 1, ("desk", "HOT"): 2, ("official", "AB"): 1}
 
 
 def test_every_listing_is_overridden(spark, tables):
     q = registry.queries()
-    got = {r["symbol"]: r for r in q["override_merge_whole"](spark, tables).collect()}
+    got = {r["symbol"]: r for r in q["override_merge"](spark, tables).collect()}
     assert {s for s, r in got.items() if r["successor_symbol"] == "NEXT"} == {"SIXSIX", "HOT", "AB", "LISTED", "LI"}
     assert {s for s, r in got.items() if r["official_status"] == "suspended"} == {"AB"}
-    assert {r["symbol"] for r in q["unknown_overrides_anti_whole"](spark, tables).collect()} == {"LISTED", "LI"}
+    assert {r["symbol"] for r in q["unknown_overrides_anti"](spark, tables).collect()} == {"LISTED", "LI"}

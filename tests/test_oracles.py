@@ -13,8 +13,8 @@ import pytest
 from tapemill.plans import registry
 
 NAMES = (
-    "p1_found", "p2_found", "p3_found", "p3_known", "p4_found", "p4_history", "p5_found", "p6_found", "p7_found", "features_full", "warmup_counts", "master_dedup", "conflict_report", "status_priority_dedup", "record_validation", "quality_errors", "registry_outer_merge",
-    "override_merge", "company_summary", "index_metrics", "index_context_wide", "market_breadth", "context_asof_join", "standard_scale", "readiness_report", "status_table", "newest_first", "null_counts", "backfill_plan", "enum_humanize", "json_observations", "html_cells",
+    "p1_found", "p1_figures", "p2_found", "p2_wide", "p3_found", "p3_known", "p4_found", "p4_history", "p5_found", "p5_grid", "p6_found", "p7_found", "p7_profile", "features_full", "warmup_counts", "master_dedup", "conflict_report", "status_priority_dedup", "record_validation", "quality_errors", "registry_outer_merge",
+    "override_merge", "company_summary", "index_metrics", "index_context_wide", "market_breadth", "market_health", "context_asof_join", "dataset_with_context", "standard_scale", "readiness_report", "status_table", "newest_first", "null_counts", "backfill_plan", "enum_humanize", "display_numbers", "display_times", "display_summary", "display_models", "json_observations", "html_cells",
 )
 
 
@@ -46,5 +46,17 @@ def test_query_equals_sql(spark, sf, db, name):
     assert got == Counter(tuple(plain(r[i]) for i in order) for r in told.fetchall())
 
 
+def test_no_query_leaves_out_a_feed_or_the_heaviest_symbol(spark, sf):
+    q = registry.queries()
+    bars = spark.read.parquet(f"{sf}/market_bars.parquet")
+    feeds = {r[0] for r in bars.select("feed").distinct().collect()}
+    for name in ("master_dedup", "company_summary", "market_breadth_by_date", "context_asof_join", "quality_errors"):
+        assert {r[0] for r in q[name](spark, sf).select("feed").distinct().collect()} == feeds, name
+    for name in ("daily_bars", "features_full"):
+        assert {r[0].split("/")[0] for r in q[name](spark, sf).select("symbol").distinct().collect()} == feeds, name
+    assert q["registry_outer_merge"](spark, sf).where("symbol = 'MKTX' and trading_days > 0").count() == 1
+    assert q["html_cells"](spark, sf).count() == q["newest_first"](spark, sf).count() == bars.count()
+
+
 def test_every_sql_has_its_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
