@@ -182,6 +182,7 @@ def known_at(
     bounded: bool = True,
     shard_rows: int = SHARD_ROWS,
     slab_rows: int = SLAB_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Each event's columns ``keep`` and, as text, the value of each attribute known at its time.
 
@@ -202,7 +203,8 @@ def known_at(
     # A report may be an answer from the later of its times on.
     told = told.where("entity is not null and valid is not null and known is not null").withColumn("at", F.greatest("valid", "known") if bounded else F.col("known"))
     asked = asked.withColumn("at", F.col("known"))
-    shards = Shards([told, asked.where(~lost)], shard_rows)
+    sizes = asked if counted is None else counted.select(event_entity.cast("string").alias("entity"), event_time.alias("known")).withColumn("at", F.col("known"))
+    shards = Shards([told, sizes.where(~lost)], shard_rows)
     told = shards.of(told)
 
     empty = {"valid": "bigint", "key": "bigint", **{f"v{i}": "string" for i in range(len(names))}}

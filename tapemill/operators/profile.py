@@ -126,16 +126,22 @@ def load_findings(bars: DataFrame, loads: DataFrame) -> DataFrame:
 
 
 def distinct_counts(bars: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """(d_load, d_column, distinct_values): each column is read and grouped on its own, by load and value in its own type.
+    """(d_load, d_column, distinct_values): columns of one type are read and grouped together, by load, column and value.
 
-    So what is shuffled is narrow, a value per load once per task at most. NaN is null, the two zeros are one value.
+    So what is shuffled is narrow, in its own type, and each value of a load once per task at most. NaN is null, the two
+    zeros are one value.
     """
+    by_type: dict[str, list[str]] = {}
     types = dict(bars.dtypes)
-    out = None
     for c in columns:
-        value = finite(c) + 0.0 if types[c] in ("double", "float") else F.col(c)
-        values = bars.select(F.col("load_id").alias("d_load"), value.alias("value")).where("value is not null").groupBy("d_load", "value").agg(F.lit(1).alias("one"))
-        part = values.groupBy("d_load").agg(F.count("*").alias("distinct_values")).select("d_load", F.lit(c).alias("d_column"), "distinct_values")
+        by_type.setdefault(types[c], []).append(c)
+    out = None
+    for kind, names in by_type.items():
+        value = lambda c, kind=kind: finite(c) + F.lit(0.0).cast(kind) if kind in ("double", "float") else F.col(c)
+        each = F.inline(F.array(*[F.struct(F.lit(i).alias("number"), value(c).alias("value")) for i, c in enumerate(names)]))
+        values = bars.select(F.col("load_id").alias("d_load"), each).where("value is not null").groupBy("d_load", "number", "value").agg(F.lit(1).alias("one"))
+        label = F.element_at(F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(i), F.lit(c))]), F.col("number"))
+        part = values.groupBy("d_load", "number").agg(F.count("*").alias("distinct_values")).select("d_load", label.alias("d_column"), "distinct_values")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -146,7 +152,7 @@ def column_profile(bars: DataFrame, loads: DataFrame, columns: tuple[str, ...] =
 
     Ranges of numbers are in the column's decimal, those of texts are lexical. A value too large for the decimal counts in
     ``unsummed`` and not in the sums. The differences are null for text, for a loader's only load and where nothing varies.
-    NaN is null. Distinct counts come from one grouping by (load, value) for each column, pre-aggregated before the shuffle.
+    NaN is null. Distinct counts come from one grouping by (load, column, value) for each type, pre-aggregated before the shuffle.
     """
     both = compared(load_sums(bars, columns, tuple(c for c in ("high", "low") if c in columns)), loads)
     broken = F.max(F.when(F.col("variable") == "broken", F.col("s1").cast("long"))).over(Window.partitionBy("load_id", "column_name"))

@@ -51,7 +51,7 @@ def builds_as_known(builds: DataFrame, updates: DataFrame, observations: DataFra
     # Builds without context have no index to ask of.
     code = F.when(F.col("market_context_included"), F.upper(F.trim("context_index_code")))
     of_index = asof.known_at(
-        of_symbol, [*own, *attributes], code, F.col("built_at"), observations, F.upper(F.trim("index_code")), F.unix_date("date").cast("long"), zoneless_micros("fetched_at"), F.col("timestamp"), {"known_context": finite("value")}, bounded=False
+        of_symbol, [*own, *attributes], code, F.col("built_at"), observations, F.upper(F.trim("index_code")), F.unix_date("date").cast("long"), zoneless_micros("fetched_at"), F.col("timestamp"), {"known_context": finite("value")}, bounded=False, counted=told
     )
     return of_index.withColumns({"known_officially_listed": F.col("known_officially_listed").cast("boolean"), "known_context": F.col("known_context").cast("double")})
 
