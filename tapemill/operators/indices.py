@@ -191,7 +191,7 @@ def market_health(figures: DataFrame, market: DataFrame, by: tuple[str, ...] = (
     one = figures.agg(
         *[trend(c).alias(c) for c in INDEX_CODES], F.avg(F.when(F.col("average_volume_20") != 0, F.col("latest_volume") / F.col("average_volume_20"))).alias("_volume"), F.avg(above).alias("_above"), F.avg("rolling_volatility_20").alias("_deviation"),
     )
-    both = one.join(F.broadcast(market))  # one row by one row, or by one for each of the market's further keys
+    both = market.join(F.broadcast(one))  # one row
     low = lambda c, k: F.when(F.col(c).isNotNull(), F.least(F.lit(1.0), F.col(c) / k))
     factors = {
         "KSE100 trend": F.col("KSE100"), "KSE30 trend": F.col("KSE30"), "KMI30 trend": F.col("KMI30"), "All Share trend": F.col("ALLSHR"), "Advance/decline ratio": low("advance_decline_ratio", 2.0), "Advancing securities": low("advancing_percent", 70.0),

@@ -39,8 +39,13 @@ def series_models(spark: SparkSession, d: str) -> DataFrame:
     return own.unionByName(m.where("model_scope = 'master'").withColumn("symbol", F.lit(None).cast("string")))
 
 
-def _features(spark, d):
-    return datasets.prepared(sound_bars(spark, d), series_registry(spark, d))
+def _sound(spark, d):
+    """The valid readings, kept: faults, features and counts look at them."""
+    return durable(sound_bars(spark, d))
+
+
+def _features(spark, d, sound=None):
+    return datasets.prepared(_sound(spark, d) if sound is None else sound, series_registry(spark, d))
 
 
 def _master(spark, d):
@@ -57,7 +62,7 @@ def metadata_join(spark, d):
 
 def dataset_with_context(spark, d):
     """The master dataset with all its columns, the market's context at most three days old."""
-    rows = datasets.prepared(sound_bars(spark, d), series_registry(spark, d), indices.context(index_series(spark, d)), TOLERANCE_DAYS)
+    rows = datasets.prepared(_sound(spark, d), series_registry(spark, d), indices.context(index_series(spark, d)), TOLERANCE_DAYS)
     numbers = (*SCALED, *indices.CONTEXT)
     return datasets.dataset_rows(datasets.master_dataset(rows)).withColumns({c: F.round(F.col(c).cast("double"), 6) for c in numbers})
 
@@ -99,17 +104,19 @@ def standard_scale(spark, d):
 
 
 def symbol_eligibility(spark, d):
-    return datasets.eligibility(sound_bars(spark, d), series_registry(spark, d), _features(spark, d), LEAST)
+    sound = _sound(spark, d)
+    return datasets.eligibility(sound, series_registry(spark, d), _features(spark, d, sound), LEAST)
 
 
-def _flags(spark, d):
+def _flags(spark, d, sound=None):
     """What readiness needs of the features, kept: it is looked at twice, and narrow beside what it is made from."""
-    return durable(_features(spark, d).select("symbol", "date", "is_warmup", "is_complete", "is_active", "security_type"))
+    return durable(_features(spark, d, sound).select("symbol", "date", "is_warmup", "is_complete", "is_active", "security_type"))
 
 
 def _readiness(spark, d):
-    features = _flags(spark, d)
-    return datasets.readiness(sound_bars(spark, d), series_registry(spark, d), features, datasets.symbol_datasets(features, LEAST), LEAST)
+    sound = _sound(spark, d)
+    features = _flags(spark, d, sound)
+    return datasets.readiness(sound, series_registry(spark, d), features, datasets.symbol_datasets(features, LEAST), LEAST)
 
 
 def readiness_report(spark, d):
