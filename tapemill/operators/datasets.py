@@ -243,6 +243,30 @@ def model_id(scope: Column, identity: Column, version: Column) -> Column:
     return F.format_string("ppo-%s-%s-v%04d", scope, F.regexp_replace(identity, "[^A-Za-z0-9._-]+", "_"), version)
 
 
+def new_models(models: DataFrame, wanted: DataFrame, version: str = VERSION) -> DataFrame:
+    """Records of new, untrained models for each (model_scope, symbol) of ``wanted``, in the registry's columns.
+
+    Versions follow the greatest of their scope and symbol. A master model has no symbol; a symbol model without one, or an
+    unknown scope, raises ValueError. Columns of ``wanted`` that the registry has are taken over, others raise.
+    """
+    unknown = sorted(set(wanted.columns) - set(files.MODELS))
+    told = wanted.agg(F.count_if(~F.col("model_scope").isin("symbol", "master")).alias("scopes"), F.count_if((F.col("model_scope") == "symbol") & (F.coalesce(F.trim("symbol"), F.lit("")) == "")).alias("symbols")).first()
+    if unknown or told["scopes"] or told["symbols"]:
+        raise ValueError(f"new models: unknown {', '.join(unknown)}" if unknown else "new models: unknown scope, or no symbol")
+    named = F.when(F.col("model_scope") == "symbol", F.trim("symbol"))
+    last = models.withColumn("m_symbol", named).groupBy(F.col("model_scope").alias("m_scope"), "m_symbol").agg(F.max("model_version").alias("last"))
+    rows = wanted.withColumn("symbol", named).join(last, (F.col("model_scope") == F.col("m_scope")) & F.col("symbol").eqNullSafe(F.col("m_symbol")), "left")
+    number = (F.coalesce("last", F.lit(0)) + 1).cast("int")
+    identity = F.coalesce("symbol", F.lit("master"))
+    folder = F.format_string("%s/v%04d", F.when(F.col("model_scope") == "symbol", F.concat(F.lit("symbols/"), F.regexp_replace(identity, "[^A-Za-z0-9._-]+", "_"))).otherwise("master"), number)
+    fixed = {
+        "model_id": model_id(F.col("model_scope"), identity, number), "model_version": number.cast("bigint"), "model_status": F.lit("not_trained"), "training_status": F.lit("never_trained"), "feature_version": F.lit(version), "new_data_days": F.lit("0"), "needs_retraining": F.lit(False),
+        "model_path": F.concat(folder, F.lit("/model")), "scaler_path": F.concat(folder, F.lit("/scaler")), "metrics_path": F.concat(folder, F.lit("/metrics")),
+    }
+    made = rows.withColumns({c: v for c, v in fixed.items() if c not in wanted.columns})
+    return files.projected(made, files.MODELS, files.MODEL_TYPES)
+
+
 def append_model(models: DataFrame, record: DataFrame) -> DataFrame:
     """``models`` with the new records; raises ValueError if an id is there already or a status is unknown."""
     if record.where(~F.col("model_status").isin(list(MODEL_STATUSES))).limit(1).count():

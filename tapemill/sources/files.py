@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapemill.operators import quality
-from tapemill.operators.dedup import assert_one, keep_last
+from tapemill.operators.dedup import assert_one, by_priority, keep_last
 
 #: The columns of a daily market file, of a listing snapshot, and those of the latter that must be there.
 DAILY = ("symbol", "date", "ldcp", "open", "high", "low", "close", "change", "change_percent", "volume")
@@ -395,6 +395,39 @@ def export_csv(df: DataFrame, path: str) -> None:
     replace_table(df, path, "csv", header="true", dateFormat="yyyy-MM-dd")
 
 
+def refresh_listings(spark: SparkSession, folder: str | Path, pages: Callable[[], DataFrame], refreshed_at: Column) -> tuple[DataFrame, str, bool]:
+    """Fetched listing pages as one snapshot, kept in ``folder``; (rows, message, whether they are an older snapshot's) (M7).
+
+    A symbol that several pages list comes once, its non-compliance first (D5). If fetching or parsing fails the newest valid
+    snapshot stands in; without one ValueError is raised.
+    """
+    from tapemill.sources.parsers import listing_snapshot
+
+    try:
+        rows = by_priority(listing_snapshot(pages(), refreshed_at), ["symbol"], "official_status", {"listed": 0, "non_compliant": 1}, ["source"])
+        path = f"{folder}/listings_{rows.first()['snapshot_date'].isoformat()}.csv"
+        _write_one_csv(rows.select(*SNAPSHOT).orderBy("symbol"), path)
+        return read_snapshot(spark, path), "", False
+    except Exception as error:  # noqa: BLE001  whatever keeps it from being refreshed
+        kept, path = newest_snapshot(spark, folder)
+        return kept, f"not refreshed ({str(error).splitlines()[0]}), {path} is used", True
+
+
+def _write_one_csv(df: DataFrame, path: str) -> None:
+    """A small table as one file, put in place at once (K1)."""
+    spark = df.sparkSession
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    fs, at = _fs(spark, path)
+    try:
+        df.coalesce(1).write.option("header", True).option("escape", '"').csv(staged)
+        part = fs.globStatus(at(f"{staged}/part-*"))[0].getPath()
+        fs.delete(at(path), False)
+        if not fs.rename(part, at(path)):
+            raise OSError(f"could not put {path} in place")
+    finally:
+        fs.delete(at(staged), True)
+
+
 def fetch(get: Callable[[str], tuple[int, str, str]], url: str, kind: str, attempts: int = 1) -> str:
     """A body through an injected getter (status, content type, body); anything but a full one of ``kind`` raises."""
     problem = ""

@@ -146,6 +146,20 @@ def test_snapshots(spark, tmp_path):
         spark.createDataFrame([("maybe",)], "x string").select(files.strict_boolean(F.col("x"))).collect()
 
 
+def test_listings_are_refreshed_or_fall_back(spark, tmp_path):
+    head = "<table><tr>" + "".join(f"<th>{h}</th>" for h in ("Symbol", "Name", "Sector", "Clearing Type", "Shares", "Free Float", "Listed In", "Non-Compliance Reason")) + "</tr>"
+    line = lambda s: f"<tr><td>{s}</td><td>Co, of {s}</td><td>S</td><td>T</td><td>1</td><td>-</td><td>ALL</td><td>late</td></tr>"
+    schema = "page_id string, html string, board string, segment string, source string"
+    pages = lambda: spark.createDataFrame([("a", head + line("NA") + line("B"), "main", "normal", "u1"), ("b", head + line("B"), "main", "dc", "u2")], schema)
+    at = F.lit("2026-07-01 10:00:00").cast("timestamp_ntz")
+    with pytest.raises(ValueError):
+        files.refresh_listings(spark, tmp_path, lambda: pages().limit(0), at)
+    rows, message, cached = files.refresh_listings(spark, tmp_path, pages, at)
+    assert not cached and not message and sorted((r["symbol"], r["official_status"], r["company_name"]) for r in rows.collect()) == [("B", "non_compliant", "Co, of B"), ("NA", "listed", "Co, of NA")]
+    rows, message, cached = files.refresh_listings(spark, tmp_path, lambda: 1 / 0, at)
+    assert cached and "division" in message and rows.count() == 2
+
+
 def test_fetch():
     assert files.fetch(lambda u: (200, "text/html; x", "<a>"), "u", "text/html") == "<a>"
     for bad in ((500, "text/html", "x"), (200, "image/png", "x"), (200, "text/html", " ")):

@@ -200,6 +200,17 @@ def test_datasets_with_context_are_kept(spark, tmp_path):
     assert [r["date"] for r in one] == dates[::2] and {r["index"] for r in one} == {"KSE-30"}
 
 
+def test_new_model_records(spark):
+    """M23, X30."""
+    models = files.projected(spark.createDataFrame([("symbol", "A/B", 3), ("master", None, 1)], "model_scope string, symbol string, model_version bigint"), files.MODELS, files.MODEL_TYPES)
+    got = {r["symbol"]: r for r in datasets.new_models(models, spark.createDataFrame([("symbol", " A/B "), ("symbol", "NEW"), ("master", None)], "model_scope string, symbol string")).collect()}
+    assert {s: (r["model_id"], r["model_version"]) for s, r in got.items()} == {"A/B": ("ppo-symbol-A_B-v0004", 4), "NEW": ("ppo-symbol-NEW-v0001", 1), None: ("ppo-master-master-v0002", 2)}
+    assert got["A/B"]["model_path"] == "symbols/A_B/v0004/model" and got[None]["model_status"] == "not_trained" and tuple(got[None].asDict()) == files.MODELS
+    for rows, schema in (([("all", "x")], "model_scope string, symbol string"), ([("symbol", " ")], "model_scope string, symbol string"), ([("master", None, 1)], "model_scope string, symbol string, other int")):
+        with pytest.raises(ValueError, match="new models"):
+            datasets.new_models(models, spark.createDataFrame(rows, schema))
+
+
 def test_split_sizes_follow_truncation(spark):
     for n in (3, 4, 7, 20, 100, 261):
         train, val = max(1, int(n * 0.7)), max(1, int(n * 0.15))
@@ -302,5 +313,9 @@ def test_parsers(spark):
 def test_display(spark):
     """X17-X26."""
     row = spark.createDataFrame([("non_compliant", 1234567.0, -1.5, None, "listing_page; https://x.y/z_a")], "e string, n double, p double, m string, s string")
+    times = spark.createDataFrame([("2026-07-30T09:05:00Z",), ("2026-07-30T23:30:00-02:00",), ("2026-07-30T09:05:00",), ("soon",), (None,)], "t string")
+    assert [r[0] for r in times.select(display.instant_text(F.col("t"))).collect()] == ["30 Jul 2026, 2:05 PM PKT", "31 Jul 2026, 6:30 AM PKT", "30 Jul 2026, 9:05 AM PKT", "—", "—"]
+    assert display.labelled(spark.createDataFrame([(1.0, 2.0, "x")], "ldcp double, change_percent double, company_name string")).columns == ["LDCP", "Change %", "Company Name"]
+    assert [r[0] for r in spark.createDataFrame([(1.0, -2.0), (None, 0.0), (None, None)], "a double, b double").select(display.trend(F.col("a"), F.col("b"))).collect()] == ["Above SMA-20 · Below SMA-50", "Below SMA-50", ""]
     got = row.select(display.humanized(F.col("e")), display.badge(F.col("e")), display.volume(F.col("n")), display.directional(F.col("p")), display.humanized(F.col("m")), display.source(F.col("s")), display.price(F.col("n")), display.integer(F.col("m"))).first()
     assert tuple(got) == ("Non-Compliant", "orange", "1.2M", "▼ -1.50%", "—", "Listing Page; https://x.y/z_a", "PKR 1,234,567.00", "—")
