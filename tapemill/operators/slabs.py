@@ -107,10 +107,15 @@ def compressed(starts: np.ndarray, day: np.ndarray, longest: int) -> tuple[np.nd
 def pieces(many: np.ndarray, limit: int = 4 * SLAB_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, number) of rows that each stand for ``many`` of them, numbered from 0, at most ``limit`` at a time."""
     upto = np.cumsum(many)
-    for a in range(0, int(upto[-1]) if len(upto) else 0, limit):
-        at = np.arange(a, min(a + limit, int(upto[-1])))
-        row = np.searchsorted(upto, at, side="right")
-        yield row, at - (upto[row] - many[row])
+    total = int(upto[-1]) if len(upto) else 0
+    for a in range(0, total, limit):
+        b = min(a + limit, total)
+        first, last = np.searchsorted(upto, (a, b - 1), side="right")
+        here = many[first : last + 1].copy()
+        here[-1] -= upto[last] - b
+        here[0] -= a - (upto[first] - many[first])
+        row = np.repeat(np.arange(first, last + 1), here)
+        yield row, np.arange(a, b) - (upto - many)[row]
 
 
 def segment_median(group: np.ndarray, x: np.ndarray, groups: int) -> np.ndarray:

@@ -10,7 +10,7 @@ import pytest
 
 from tapemill.operators.grid import local_linear, regular_grid
 from tapemill.operators.rolling import disagreeing_figures, trailing_figures
-from tapemill.operators.slabs import segment_median, slab_map
+from tapemill.operators.slabs import pieces, segment_median, slab_map
 from tapemill.operators.spikes import details, finest_details, implausible_readings, implausible_rows, wavelet_cases
 from tests.brute import cases, figures, in_force, key
 
@@ -188,6 +188,13 @@ def test_slabs_hold_whole_groups(spark):
     assert len(got) == 303
 
 
+@pytest.mark.parametrize("limit", [1, 2, 3, 7, 100])
+def test_pieces_number_every_row(limit):
+    for many in ([], [0], [3], [0, 2, 0, 0, 5, 1, 0], [7, 7], [1] * 9):
+        got = [(int(r), int(n)) for rows, numbers in pieces(np.array(many, np.int64), limit) for r, n in zip(rows, numbers, strict=True)]
+        assert got == [(r, n) for r, k in enumerate(many) for n in range(k)]
+
+
 def test_segment_median():
     g, x = np.array([0, 0, 0, 2, 2]), np.array([3.0, 1, 2, 5, 8])
     assert np.array_equal(segment_median(g, x, 3), [2, np.nan, 6.5], equal_nan=True)
