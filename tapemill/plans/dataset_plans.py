@@ -15,7 +15,8 @@ from tapemill.plans.indicator_plans import COMPLETE, DAYS, WALK, rounded
 from tapemill.session import durable
 from tapemill.sources.tables import all_bars, index_series, named_series, sound_bars
 
-#: Least rows of a dataset; the series of the tables have at most 340 days, of which some are no valid readings.
+#: Least rows of a symbol's dataset in the queries. With the operators' default of 252 the tables of scale 0.01, over which SQL is
+#: compared, have none of an active ordinary equity.
 LEAST = 100
 TOLERANCE_DAYS = 3
 SCALED = tuple(c for c in indicators.FEATURES if c in datasets.COLUMNS)
