@@ -12,9 +12,11 @@ a place, or drops them where it has nothing, and must pay for itself too.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections import Counter, deque
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import pyarrow as pa
 import zstandard
@@ -54,7 +56,7 @@ FILL_LANGUAGES = 2
 CONTEXTS = ((3, 3), (2, 2), (0, 3), (3, 0), (1, 1))
 #: Bytes that each character which UTF-8 in disguise takes up in vain tells against chance, up to eight of them.
 EVIDENCE = 0.25
-#: Share of a language's sampled texts that must have a character for it to be one of the language's letters.
+#: Share of a language's texts that must have a character for it to be one of the language's letters.
 COMMON = 0.03
 #: Bytes that a symbol, or a letter, in no language's letters costs more.
 STRANGE_COST = (4, 8)
@@ -68,10 +70,16 @@ MIXED_COST = 4
 MOST_STEPS, BEAM = 3, 8
 #: Share of the distinct characters beyond ASCII that must be a language's own for it to describe a text.
 FAMILIAR = 0.8
-#: Bounds of the dictionaries' training sample: documents per language, their length, and a dictionary's size. Every language
-#: has its dictionary; with more than ``FULL_LANGUAGES`` of them all have less, so that the sample stays bounded.
-SAMPLE_DOCUMENTS, SAMPLE_LENGTH, DICTIONARY_BYTES, FULL_LANGUAGES = 300, 8_000, 131_072, 32
+#: A dictionary's size. Every language has its dictionary; with more than ``FULL_LANGUAGES`` of them all have less, so that
+#: they stay bounded together.
+DICTIONARY_BYTES, FULL_LANGUAGES = 131_072, 32
+#: So many times as frequent as a phrase is what it was misread from.
+FAR_MORE = 4
+#: Counts that a task holds before it hands them on.
+HELD_COUNTS = 300_000
 LEVEL = 6
+#: At this level no match begins in the last 16 bytes, which would make a sentence's end dear by chance; these stand there.
+TAIL = bytes(range(1, 17))
 
 _UTF8 = re.compile("(?<![\x80-\xff])(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+(?![\x80-\xff])")
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?:;](?:\s+|$)|[。！？]|\n|$)")
@@ -80,6 +88,11 @@ _CASE = re.compile("[À-ÖØ-ÞА-ЯЁ](?<=[a-zà-öø-ÿа-яё].)|[à-öø-ÿ
 _MIXED = tuple(re.compile(p) for p in ("[\u0400-\u04ff\u0600-\u06ff](?=[A-Za-z])", "[\u0400-\u04ff\u0600-\u06ff](?<=[A-Za-z].)"))
 _RUN = re.compile("([^\x00-\x7f]+)")
 _DIGIT = re.compile("[0-9]")
+#: Words with their blank, bounded in length, and the characters of scripts that are written without blanks.
+_TOKEN = re.compile("[^\\s\u2e80-\U0010ffff]{1,24}\\s?|[\u2e80-\U0010ffff]|\\s")
+_UNSOUND = re.compile(f"[\x80-\x9f{LOST}]")
+#: Three words of a text, nothing standing before its first and after its last, and how often they are.
+Phrase = tuple[str, str, str, int]
 _FOREIGN = ""
 
 
@@ -152,9 +165,10 @@ def _beyond(text: str) -> str:
 class Describer:
     """Description lengths under the languages' dictionaries."""
 
-    def __init__(self, dictionaries: dict[str, bytes], alphabets: dict[str, str]):
+    def __init__(self, dictionaries: dict[str, bytes], alphabets: dict[str, str], phrases: dict[str, list[Phrase]] | None = None):
+        """Without ``phrases`` the dictionaries' own text is what a language has between two characters."""
         self._zip = {k: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for k, d in dictionaries.items()}
-        self._taught = {k: d.decode("utf-8", "ignore") for k, d in dictionaries.items()}
+        self._taught = {k: _laid_out((phrases or {}).get(k) or [("", d.decode("utf-8", "ignore"), "", 1)]) for k, d in dictionaries.items()}
         self._letters = {k: frozenset(a + a.lower() + a.upper()) for k, a in alphabets.items()}
         self._known = frozenset().union(*self._letters.values())
         self._double = tuple(e for e in DOUBLE_BYTE if any(self._written_in(a, e) for a in alphabets.values()))
@@ -189,7 +203,7 @@ class Describer:
         return size + strange + CASE_COST * len(_CASE.findall(text)) + MIXED_COST * sum(len(m.findall(text)) for m in _MIXED)
 
     def _bytes(self, text: str, languages: Iterable[str]) -> int:
-        data = text.encode("utf-8", "replace")
+        data = text.encode("utf-8", "replace") + TAIL
         return min((len(self._zip[k].compress(data)) for k in languages), default=len(self._plain.compress(data)))
 
     def _plausible(self, chars: str) -> tuple[tuple[str, str], ...]:
@@ -213,7 +227,12 @@ class Describer:
 
     def _between(self, language: str, left: str, right: str, most: int) -> str:
         """What of at most so many characters beyond ASCII a language has most often between two texts; empty for nothing."""
-        found = Counter(re.findall(f"{re.escape(left)}([^\x00-\x7f]{{1,{most}}}){re.escape(right)}", self._taught[language]))
+        text, starts, middles, ends, counts = self._taught[language]
+        found: Counter[str] = Counter()
+        for m in re.finditer(f"{re.escape(left)}([^\x00-\x7f]{{1,{most}}}){re.escape(right)}", text):
+            i = bisect_right(starts, m.start(1)) - 1
+            if middles[i] <= m.start(1) < ends[i]:  # where it is the middle of a phrase, each place counts once
+                found[m[1]] += counts[i]
         return min(found, key=lambda c: (-found[c], c), default="")
 
     def _fill(self, text: str, language: str) -> str:
@@ -221,7 +240,7 @@ class Describer:
         def best(m: re.Match) -> str:
             before, after = text[: m.start()], text[m.end() :]
             for a, b in CONTEXTS:
-                left, right = before[len(before) - a :] if a else "", after[:b]
+                left, right = _DIGIT.sub("0", before[len(before) - a :] if a else ""), _DIGIT.sub("0", after[:b])
                 if len(left) < a or len(right) < b or LOST in left + right:
                     continue
                 if found := self.between(language, left, right, len(m[0])):
@@ -332,45 +351,151 @@ class Describer:
         return best, chain
 
 
-def _content(texts: list[str], most: int) -> bytes:
-    """A dictionary's content: whole texts in the sample's order, as many as fit, the first one last.
+def _laid_out(phrases: list[Phrase]) -> tuple[str, list[int], list[int], list[int], list[int]]:
+    """The phrases' text, and where each begins, its middle begins and ends, and how often it is."""
+    out, at, starts, middles, ends = [], 0, [], [], []
+    for before, word, after, _ in phrases:
+        starts.append(at)
+        middles.append(at + len(before))
+        ends.append(middles[-1] + len(word))
+        out.append(f"{before}{word}{after}\0")
+        at += len(out[-1])
+    return "".join(out), starts, middles, ends, [n for *_, n in phrases]
 
-    Trained dictionaries keep one of several like segments, by chance the damaged one; content keeps them in proportion.
+
+def _without_misread(phrases: list[Phrase]) -> list[Phrase]:
+    """The phrases but those that, read in another encoding, are ``FAR_MORE`` times as frequent: they would describe themselves."""
+    often: Counter[str] = Counter()
+    for *words, n in phrases:
+        often["".join(words).lower()] += n
+
+    def misread(text: str, n: int) -> bool:
+        ways = {reread_bytes(text, read, written) for read, written in CONFUSED if written not in DOUBLE_BYTE} - {text}
+        return any(often[new.lower()] >= FAR_MORE * n for new in ways)
+
+    return [x for x in phrases if (text := "".join(x[:3])).isascii() or not misread(text, x[3])]
+
+
+def _arranged(phrases: list[Phrase], whole: list[Phrase], most: int) -> tuple[bytes, list[Phrase]]:
+    """A dictionary's content and the phrases in it, in their order, as many as fit; the first ones stand last.
+
+    Each stands in its likeliest sentence, continued both ways by the most frequent phrase that shares two words. Whole
+    sentences, most frequent first, take what room is left.
     """
-    out, size = [], 0
-    for t in (t.encode() for t in texts):
-        if size + len(t) <= most:
-            out.append(t)
-            size += len(t)
-    return b"".join(reversed(out))
+    after: dict[tuple[str, str], Phrase] = {}
+    before: dict[tuple[str, str], Phrase] = {}
+    for x in phrases:
+        after.setdefault(x[:2], x)
+        before.setdefault(x[1:3], x)
+    held: set[Phrase] = set()
+    rows, size = [], 0
+    for phrase in phrases:
+        if phrase in held or size + len("".join(phrase[:3]).encode()) > most:
+            continue
+        row, there = deque(phrase[:3]), {phrase}
+        while row[-1] and (x := after.get((row[-2], row[-1]))) and x not in there:
+            row.append(x[2])
+            there.add(x)
+        while row[0] and (x := before.get((row[0], row[1]))) and x not in there:
+            row.appendleft(x[0])
+            there.add(x)
+        text = "".join(row).encode()
+        if size + len(text) <= most:
+            held |= there
+            rows.append(text)
+            size += len(text)
+    for text in (x[0].encode() for x in whole):
+        if size + len(text) <= most:
+            rows.append(text)
+            size += len(text)
+    return b"".join(reversed(rows)), [x for x in phrases if x in held]
 
 
-def dictionaries(documents: DataFrame) -> tuple[dict[str, bytes], dict[str, str]]:
-    """A zstandard dictionary and the letters beyond ASCII of each language, from a bounded sample of labelled texts.
+@lru_cache(200_000)
+def _disguised(run: str) -> bool:
+    return any(_run_as_utf8(run, read) != run for read in ("cp1252", "mac_roman", "cp437", "cp1251", "cp1250"))
 
-    At most ``SAMPLE_DOCUMENTS`` whole texts, of at most ``SAMPLE_LENGTH`` characters, of each label (its part before a
-    hyphen or underscore), less with more than ``FULL_LANGUAGES`` labels; the ones with the smallest hash. Texts that hold
-    controls, replacement characters or UTF-8 in disguise are left out. Letters count if two texts, and ``COMMON`` of all,
-    have them.
+
+def _counted(texts: DataFrame, columns: list[str], count: Callable[[Counter, str, str], None]) -> DataFrame:
+    """How often each is what ``count`` counts in every text that holds no controls, replacement characters or UTF-8 in disguise.
+
+    Tasks add up what they see and hand it on when they hold ``HELD_COUNTS``; the parts are added up by a shuffle.
+    """
+    def rows(total: Counter) -> pa.RecordBatch:
+        keys = list(zip(*total, strict=True)) or [()] * len(columns)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in keys), pa.array(total.values(), pa.int64())], [*columns, "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), map(sound, batch.column("text").to_pylist()), strict=True):
+                if text.isascii() or not (_UNSOUND.search(text) or any(map(_disguised, _RUN.findall(text)))):
+                    count(total, lang, text)
+                if len(total) >= HELD_COUNTS:
+                    yield rows(total)
+                    total = Counter()
+        yield rows(total)
+
+    return texts.mapInArrow(run, ", ".join(f"{c} string" for c in columns) + ", n bigint").groupBy(*columns).agg(F.sum("n").alias("n"))
+
+
+def _letters(texts: DataFrame) -> dict[str, str]:
+    """The characters beyond ASCII that two texts of a language, and ``COMMON`` of all, have; of a language with less than three texts all."""
+    def count(total: Counter, lang: str, text: str) -> None:
+        total[lang, ""] += 1
+        for c in _beyond(text):
+            total[lang, c] += 1
+
+    out: dict[str, str] = {}
+    own = F.max(F.when(F.col("c") == "", F.col("n"))).over(Window.partitionBy("lang"))
+    counts = _counted(texts, ["lang", "c"], count).withColumn("own", own)
+    for lang, c in sorted(tuple(r) for r in counts.where(f"c = '' or own < 3 or n >= greatest(2, own * {COMMON})").select("lang", "c").collect()):
+        out[lang] = out.get(lang, "") + c
+    return out
+
+
+def models(documents: DataFrame) -> tuple[dict[str, bytes], dict[str, str], dict[str, list[Phrase]]]:
+    """A zstandard dictionary, the letters beyond ASCII and the phrases around them of each language, from all labelled texts.
+
+    A language is a label's part before a hyphen or underscore. Every text of it counts that holds no controls, replacement
+    characters or UTF-8 in disguise, whatever its length. The phrases are three words, digits alike, counted at every place of
+    every text, and so are sentences; a dictionary holds the most frequent ones, those with characters beyond ASCII before others. What comes to the driver is bounded by the dictionaries' size and
+    the letters; rows of a language that a task arranges, by the size too: each phrase adds a byte at least.
     """
     label = F.regexp_extract(F.lower(F.trim("lang")), "^([a-z]{2,8})([-_].*)?$", 1)
-    texts = documents.where((F.length("text") <= SAMPLE_LENGTH) & (F.col("text") != "")).select(label.alias("lang"), "text", F.xxhash64("text", "doc_id").alias("h")).where("lang <> ''")
-    many = max(1, texts.agg(F.count_distinct("lang")).first()[0])
-    share = min(1.0, FULL_LANGUAGES / many)
-    # Spark keeps only each task's first rows of every label before the shuffle.
-    first = texts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= max(8, int(SAMPLE_DOCUMENTS * share)))
-    samples: dict[str, list[str]] = defaultdict(list)
-    for lang, _, text in sorted((r["lang"], r["h"], r["text"]) for r in first.collect()):
-        text = sound(text)
-        if not re.search(f"[\x80-\x9f{LOST}]", text) and all(reread_utf8(text, read) == text for read in ("cp1252", "mac_roman", "cp437", "cp1251", "cp1250")):
-            samples[lang].append(text)
-    letters = {}
-    for lang, own in samples.items():
-        count = Counter(c for t in own for c in {c for c in t if c > "\x7f"})
-        letters[lang] = "".join(sorted(c for c, n in count.items() if n >= max(2, len(own) * COMMON) or len(own) < 3))
-    # A misread text in the sample would describe itself: only sentences all in the language's letters teach.
-    taught = {k: ["".join(s for s in sentences(t) if set(_beyond(s)) <= set(letters[k])) for t in own] for k, own in samples.items()}
-    return {k: _content(own, int(DICTIONARY_BYTES * share)) for k, own in sorted(taught.items()) if any(own)}, letters
+    texts = documents.where(F.col("text") != "").select(label.alias("lang"), "text").where("lang <> ''")
+    letters = _letters(texts)
+    most = int(DICTIONARY_BYTES * min(1.0, FULL_LANGUAGES / max(1, len(letters))))
+    allowed = {k: frozenset(map(chr, range(0x80))) | frozenset(v) for k, v in letters.items()}
+
+    def count(total: Counter, lang: str, text: str) -> None:
+        for s in sentences(text):
+            # A misread text would describe itself: only sentences all in the language's letters teach.
+            if allowed[lang].issuperset(s):
+                s = _DIGIT.sub("0", s)
+                words = ["", *_TOKEN.findall(s), ""]
+                total.update(zip(repeat(lang), words, words[1:], words[2:]))
+                total[lang, s, "", ""] += 1
+
+    def arrange(rows: pa.Table) -> pa.Table:
+        counts = sorted(zip(*(rows.column(c).to_pylist() for c in ("a", "b", "c", "n")), strict=True), key=lambda x: ("".join(x[:3]).isascii(), -x[3], x[:3]))
+        content, held = _arranged(*(_without_misread([x for x in counts if bool(x[1]) == part]) for part in (True, False)), most)
+        held = [x for x in held if not x[1].isascii()]
+        return pa.table({"lang": [rows.column("lang")[0].as_py()], "content": [content], **{k: pa.array([[x[i] for x in held]], pa.list_(t)) for i, (k, t) in enumerate({"a": pa.string(), "b": pa.string(), "c": pa.string(), "n": pa.int64()}.items())}})
+
+    counts = _counted(texts, ["lang", "a", "b", "c"], count).where("b <> '' or n > 1")  # a sentence found once is left to its phrases
+    words = F.concat("a", "b", "c")
+    ranked = [F.octet_length(words) == F.length(words), F.desc("n"), "a", "b", "c"]  # what is beyond ASCII first: of it is decided
+    # Spark keeps only each task's first rows of every language before the shuffle.
+    first = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang", F.col("b") == "").orderBy(*ranked))).where(F.col("r") <= most)
+    made = first.drop("r").groupBy("lang").applyInArrow(arrange, "lang string, content binary, a array<string>, b array<string>, c array<string>, n array<bigint>").collect()
+    made = [r for r in sorted(made, key=lambda r: r["lang"]) if r["content"]]
+    return {r["lang"]: bytes(r["content"]) for r in made}, letters, {r["lang"]: list(zip(r["a"], r["b"], r["c"], r["n"], strict=True)) for r in made}
+
+
+def dictionaries(documents: DataFrame) -> tuple[dict[str, bytes], dict[str, str]]:
+    """The dictionary and the letters beyond ASCII of each language; see :func:`models`."""
+    return models(documents)[:2]
 
 
 def sentences(text: str) -> list[str]:
@@ -383,12 +508,12 @@ def restored(documents: DataFrame) -> DataFrame:
     ``restored``: every misread part found was decoded; ``lossy``: bytes were lost, what stands in their place in ``restored`` is
     the language's most likely filling, nothing, or still the mark. ``chains`` are the distinct chains used. Sound, null and
     empty texts, however unusual, do not come out; equal texts are judged alike. Whole texts are judged, sentence by
-    sentence. One pass without shuffle; the dictionaries, of bounded size, travel with the tasks.
+    sentence. One pass without shuffle after two that count; the dictionaries and phrases, of bounded size, travel with the tasks.
     """
-    known, letters = dictionaries(documents)
+    known, letters, phrases = models(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        describer = Describer(known, letters)
+        describer = Describer(known, letters, phrases)
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
