@@ -196,7 +196,7 @@ class Describer:
         """
         chars = _beyond(text)
         some = decoded and self.languages(chars) or self._zip
-        strange = sum(text.count(c) * STRANGE_COST[c.isalpha() or c == LOST] for c in chars if c not in self._known or c == LOST)
+        strange = sum(text.count(c) * STRANGE_COST[c.isalpha() or c == LOST] for c in chars if not (c in self._known or c.isspace()) or c == LOST)
         size = self._bytes(text, some)
         if text.isupper():
             size = min(size, self._bytes(text.lower(), some) + CAPITALS_COST)
@@ -466,7 +466,8 @@ def models(documents: DataFrame) -> tuple[dict[str, bytes], dict[str, str], dict
     texts = documents.where(F.col("text") != "").select(label.alias("lang"), "text").where("lang <> ''")
     letters = _letters(texts)
     most = int(DICTIONARY_BYTES * min(1.0, FULL_LANGUAGES / max(1, len(letters))))
-    allowed = {k: frozenset(map(chr, range(0x80))) | frozenset(v) for k, v in letters.items()}
+    blanks = frozenset(map(chr, range(0x80))) | {"\xa0"}  # a no-break space is a blank in any language, whether common or not
+    allowed = {k: blanks | frozenset(v) for k, v in letters.items()}
 
     def count(total: Counter, lang: str, text: str) -> None:
         for s in sentences(text):

@@ -42,3 +42,9 @@ def test_a_misread_phrase_does_not_describe_itself(spark):
     rows = [(i, text, "ru") for i in range(40)] + [(100 + i, text.encode("koi8_r").decode("cp1251"), "ru") for i in range(3)]
     got = {g["doc_id"]: g["restored"] for g in encodings.restored(frame(spark, rows)).collect()}
     assert got == {100 + i: text for i in range(3)}
+
+
+def test_no_break_spaces_are_blanks_however_rare(spark):
+    rows = [(i, f"Según el boletín, la suspensión terminará pronto: {i}.", "es") for i in range(400)] + [(i, f"Już rząd wyjaśnił, że opóźnienie trwa: {i}. Zęby bolą ŻÓŁĆ Ę.", "pl") for i in range(400, 800)]
+    rows += [(1000 + i, f"Según\xa0el\xa0boletín,\xa0la\xa0suspensión terminará pronto: {i}.", "es") for i in range(4)]
+    assert encodings.restored(frame(spark, rows)).count() == 0
